@@ -170,7 +170,8 @@ def byte_bpe_pieces(texts: list[str | None], special: str) -> tuple[np.ndarray,
 
 
 def distinct_pieces(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, joined: str, special: str) -> tuple[list[str], np.ndarray]:
-    """The distinct pieces of a batch and the slot of each piece among them; two 64-bit hashes must agree."""
+    """The distinct pieces of a batch, by first occurrence, and the slot of each piece among them; two 64-bit hashes must
+    agree."""
     if not len(begin):
         return [], np.zeros(0, np.uint32)
     _, where, slot = np.unique(hashes[0], return_index=True, return_inverse=True)
@@ -179,10 +180,14 @@ def distinct_pieces(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, join
         known: dict[tuple[int, str], int] = {}
         slot = np.fromiter((known.setdefault((int(h == blank), joined[b:e]), len(known)) for h, b, e in zip(hashes[0], begin, end)), np.int64, len(begin))
         return [special if s else w for s, w in known], slot.astype(np.uint32)
+    order = np.argsort(where)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    where = where[order]
     words = [joined[b:e] for b, e in zip(begin[where].tolist(), end[where].tolist())]
     for k in np.flatnonzero(hashes[0][where] == blank):
         words[k] = special
-    return words, slot.reshape(-1).astype(np.uint32)
+    return words, rank[slot.reshape(-1)]
 
 
 @lru_cache(1)
