@@ -229,7 +229,7 @@ def read_warc(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, payload: bool
                 if rows:
                     yield flush(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, CHUNKS)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(run, CHUNKS)
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

@@ -147,7 +147,7 @@ def _read(manifest: DataFrame, wide: bool, digest: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     schema = "part int, place bigint, doc_id bigint, " + ("within bigint, n_tokens bigint, ids_crc32 bigint" if digest else "ids binary")
-    files = manifest.select("part", "path").repartition(F.col("part"))
+    files = manifest.select("part", "path").repartition(max(1, manifest.count()), "part")
     return files.mapInArrow(run, schema)
 
 

@@ -74,11 +74,17 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
+@lru_cache(1)
+def folds() -> np.ndarray:
+    """Every code point's lower case, where that is one code point."""
+    return np.fromiter((ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0x110000)), np.uint32, 0x110000)
+
+
 class Words:
     """Words of a batch: maximal runs of letters, digits and combining marks, lower-cased; positions are per text."""
 
     def __init__(self, texts: list[str | None]):
-        self.texts = [(t or "").lower() for t in texts]
+        self.texts = [t or "" for t in texts]
         cps, at = code_points(self.texts)
         inside = _word_class()[cps] if len(cps) else np.zeros(0, bool)
         edge = np.zeros(len(cps) + 1, np.int8)
@@ -91,7 +97,7 @@ class Words:
         begin[joined] = True
         stop[joined] = True
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(stop)
-        self.hasher = Hasher(cps)
+        self.hasher = Hasher(folds()[cps])
         self.cps, self.at = cps, at
         self.hash = self.hasher.of(self.start, self.end)
         #: Words of text i are first[i]:first[i+1].
