@@ -15,12 +15,19 @@ def fold_text(text: str) -> str:
     return re.sub(r"\s+", " ", plain).strip().casefold()
 
 
-@F.pandas_udf("string")
-def unicode_fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else fold_text(t))
+def unicode_fold(text):
+    """``fold_text`` of a column."""
 
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else fold_text(t))
 
-@F.pandas_udf("string")
-def first_letter(text: pd.Series) -> pd.Series:
+    return F.pandas_udf(run, "string")(text)
+
+
+def first_letter(text):
     """The first character, decomposed and lower-cased."""
-    return text.map(lambda t: None if not t else unicodedata.normalize("NFD", t).lower()[:1])
+
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if not t else unicodedata.normalize("NFD", t).lower()[:1])
+
+    return F.pandas_udf(run, "string")(text)

@@ -31,10 +31,13 @@ def osa_distance(a: str, b: str) -> int:
     return last[-1]
 
 
-@F.pandas_udf("int")
-def osa(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Full distance, for thresholds over one."""
-    return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+def osa(a, b):
+    """Full distance of two columns, for thresholds over one."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else osa_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    return F.pandas_udf(run, "int")(a, b)
 
 
 def snap_word(word: str | None, vocab: list[str], folded: dict[str, str], cutoff: float = SNAP_CUTOFF) -> tuple[str | None, float]:
@@ -82,10 +85,13 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
-def label_similarity(label: pd.Series, line: pd.Series) -> pd.Series:
+def label_similarity(label, line):
     """A label against an OCR line, which may go on after the label (then a little less)."""
-    return pd.Series([max(indel_ratio(a, b), 0.98 * indel_ratio(a, b[: len(a)]) if len(b) > len(a) else 0.0) for a, b in zip(label.fillna(""), line.fillna(""))])
+
+    def run(label: pd.Series, line: pd.Series) -> pd.Series:
+        return pd.Series([max(indel_ratio(a, b), 0.98 * indel_ratio(a, b[: len(a)]) if len(b) > len(a) else 0.0) for a, b in zip(label.fillna(""), line.fillna(""))])
+
+    return F.pandas_udf(run, "double")(label, line)
 
 
 def label_idf(labels: DataFrame) -> DataFrame:
