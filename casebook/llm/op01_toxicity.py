@@ -37,7 +37,7 @@ DRIFT, LEAST, MOST = 0.25, -1.5, 8.0
 PRIOR_SHARE, CAUTION = 0.05, 1.2
 TOP, PRICE = 8, 1.5
 COUNTS = "space int, bucket int, corpus bigint, a0 bigint, a1 bigint, b0 bigint, b1 bigint"
-PASSAGES = "array<struct<start:int,end:int,score:double,p_value:double>>"
+PASSAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("p_value", T.DoubleType())]))
 
 
 @dataclass
