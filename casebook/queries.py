@@ -6,6 +6,8 @@ customers coded patients, orders visits, lineitem evaluation rows. Readings are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.functions import text as X
@@ -197,7 +199,10 @@ def lifecycle_stream(spark, sf_dir):
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/")
     rows = source.select(F.col("user_id").cast("string").alias("record"), F.col("ts").cast("timestamp").alias("at"), F.element_at(moves, F.col("event_type")).alias("wanted"))
     name = "lifecycle_history"
-    stream = run(rows).writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append").start()
+    writer = run(rows).writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append")
+    if root := spark.conf.get("spark.checkpoint.dir", None):  # state goes to the folder that the cluster shares
+        writer = writer.option("checkpointLocation", f"{root}/lifecycle-{uuid.uuid4().hex}")
+    stream = writer.start()
     stream.awaitTermination()
     return spark.table(name)
 
