@@ -14,7 +14,9 @@ So every two members of a bucket are of one class or were found unlike, directly
 of copies costs one verification per member.
 
 Frequencies, signatures and links are tables; nothing that grows with the documents reaches the driver. Hot buckets are
-aggregated before the shuffle and joined as slim rows.
+aggregated before the shuffle and joined as slim rows. Texts are shuffled only where a document shares a bucket: a bitmap
+of FILTER_BITS over hashed doc_ids, a broadcast table whose size does not depend on the input, leaves out most others
+before the exact join (a full bitmap lets all pass), and each side of the verification reads only the texts it needs.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are each a class of their
 own; rows that share a doc_id are one class; null doc_ids are left out of the result and stay as they are in ``keep_one``;
@@ -34,6 +36,7 @@ BUCKETS = 1 << 18
 TILE = 256
 SLICE_CHARS = 100_000
 LEVELS = 1 << 16
+FILTER_BITS, PAGE_BITS = 1 << 25, 1 << 15
 U = np.uint64
 
 
@@ -186,11 +189,23 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> Data
                     keep_a.append(a), keep_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
-    t1 = texts.withColumnsRenamed({"doc_id": "a", "text": "ta"})
-    t2 = texts.withColumnsRenamed({"doc_id": "b", "text": "tb"})
+    t1 = texts.where("member").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
+    t2 = texts.where("lead").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(t1, "a").join(t2, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose doc_id is not among ``ids``; none of those is lost. The bitmap is a table of at
+    most FILTER_BITS / PAGE_BITS rows of 4 kB, so its broadcast is bounded."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    pages = ids.select(F.bitmap_bucket_number(bit).alias("page"), F.bitmap_bit_position(bit).alias("at")).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright(_byte, _bit) & 1") == 1
+    marked = docs.withColumn("page", F.bitmap_bucket_number(bit)).join(F.broadcast(pages), "page")
+    return marked.withColumns({"_byte": byte, "_bit": (at % 8).cast("int")}).where(held).select(*docs.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, class_id) of every document in (a, b): the least doc_id that links lead to. Labels pass along links and
     are then followed to their own label, so rounds grow with the logarithm of a chain's length."""
@@ -218,7 +233,7 @@ def _crossed(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Dat
     spot = F.xxhash64("doc_id")
     minor = rows.where("class_id <> main").select("bucket", "doc_id", "class_id", F.pmod(spot, down).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), F.lit(True).alias("left"))
     every = rows.select("bucket", "doc_id", "class_id", F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), F.pmod(spot, across).cast("int").alias("j"), F.lit(False).alias("left"))
-    dealt = minor.unionByName(every).join(texts, "doc_id")
+    dealt = minor.unionByName(every).join(texts.select("doc_id", "text"), "doc_id")
 
     def tile(rows):
         import pandas as pd
@@ -257,9 +272,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sized = reps.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.sum(F.xxhash64("doc_id", F.lit(1)).bitwiseAND((1 << 30) - 1)).alias("s")).where("n > 1")
     one = sized.groupBy("n", "x", "s", "lead").agg(F.min("bucket").alias("bucket"))  # buckets of the same members count once
     members = written(reps.join(one.select("bucket", "lead", "n"), "bucket"), "near-buckets")
-    wanted = members.select("doc_id").distinct()
+    wanted = written(members.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("lead")).alias("lead"), F.bool_or(F.col("doc_id") != F.col("lead")).alias("member")), "near-wanted")
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = written(slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+    texts = written(_likely(slim, wanted).join(wanted, "doc_id").dropDuplicates(["doc_id"]), "near-texts")
     stars = members.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     links = written(_verified(stars, texts, idf, threshold), "near-stars")
     label = components(links)
