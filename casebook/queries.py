@@ -209,11 +209,11 @@ def lifecycle_stream(spark, sf_dir):
 
 # ---- matching
 
-@query("patient_candidates", """WITH c AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS code FROM customer WHERE c_custkey % 7 = 0), k AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS candidate FROM customer)
+@query("patient_candidates", """WITH c AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS code FROM customer), k AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS candidate FROM customer)
 SELECT code, candidate, damerau_levenshtein(code, candidate)::INT AS distance FROM c JOIN k ON damerau_levenshtein(code, candidate) <= 1""")
 def patient_candidates(spark, sf_dir):
-    people = table(spark, sf_dir, "customer")
-    return match.code_candidates(people.where("c_custkey % 7 = 0").select(F.col("c_name").alias("code")), people.select(F.col("c_name").alias("code")))
+    codes = table(spark, sf_dir, "customer").select(F.col("c_name").alias("code"))
+    return match.code_candidates(codes, codes)
 
 
 @query("patient_view", """SELECT c_custkey AS code, count(o_orderkey)::BIGINT AS visits, max(o_orderdate) AS last_visit FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
