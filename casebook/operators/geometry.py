@@ -66,3 +66,10 @@ def laplacian_variance(image: np.ndarray) -> float:
     g = image.astype(float)
     lap = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
     return float(lap.var()) if lap.size else 0.0
+
+
+def near_top_labels(found: DataFrame, slack: float = 5.0, band: float = 12.0) -> DataFrame:
+    """``found`` (label, score, x, y, id) where a label's score is within ``slack`` of its best, with its place in reading
+    order: by band of height, then from the left."""
+    kept = found.withColumn("_top", F.max("score").over(Window.partitionBy("label"))).where(F.col("score") >= F.col("_top") - slack).drop("_top")
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.round(F.col("y") / band), "x", "id")))
