@@ -102,7 +102,7 @@ def choose_reading(readings: DataFrame) -> DataFrame:
     ``readings``: crop, source (unique in a crop), origin, text, value, ok, issues, plausible, snapped, score. Readings of
     one origin come from the same recogniser output, so their agreement counts for nothing. Two readings agree by text, or
     by value where both parsed. More agreement wins, then a clean parse, plausibility, an exact word, the score; the least
-    source breaks ties. Readings without text take no part. A crop has as many rows as there are recognisers.
+    source, then the greatest value, breaks ties. Readings without text take no part. A crop has as many rows as there are recognisers.
     """
     seen = readings.where("text <> ''")
     other = seen.select("crop", *(F.col(c).alias(f"_{c}") for c in ("origin", "text", "value", "ok", "score")))
@@ -114,7 +114,7 @@ def choose_reading(readings: DataFrame) -> DataFrame:
         F.count_if(F.coalesce(agrees, F.lit(False))).alias("agreement"),
         F.max(F.when(by_text | by_value, F.col("_score"))).alias("base"),
     )
-    order = F.struct("agreement", (F.col("ok") & (F.col("issues") == 0)).alias("clean"), "plausible", "snapped", "score", (-F.col("source")).alias("first"))
+    order = F.struct("agreement", (F.col("ok") & (F.col("issues") == 0)).alias("clean"), "plausible", "snapped", "score", (-F.col("source")).alias("first"), "value")
     best = judged.groupBy("crop").agg(F.max_by(F.struct(*judged.columns[1:]), order).alias("b")).select("crop", "b.*")
     conf = F.when(F.col("agreement") > 0, 0.55 + 0.45 * F.col("base")).otherwise(0.75 * F.col("score"))
     return best.select("crop", "source", "value", "agreement", (conf * F.when(F.col("snapped") < 1, 0.6 + 0.4 * F.col("snapped")).otherwise(1.0)).alias("confidence"))

@@ -301,19 +301,19 @@ def decide_radio(spark, sf_dir):
     return decide.radio_decision(options, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
 
 
-_OPINIONS = """SELECT l_orderkey AS crop, l_linenumber AS source, l_linenumber % 3 AS origin, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR) AS text, CAST(l_partkey % 3 AS VARCHAR) AS value, l_suppkey % 4 > 0 AS ok,
+_OPINIONS = """SELECT l_orderkey AS crop, l_partkey * 10 + l_linenumber AS source, l_linenumber % 3 AS origin, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR) AS text, CAST(l_partkey % 3 AS VARCHAR) AS value, l_suppkey % 4 > 0 AS ok,
  CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS issues, l_partkey % 2 = 0 AS plausible, CASE WHEN l_partkey % 5 = 0 THEN 0.75 ELSE 1.0 END AS snapped, l_discount * 10 AS score FROM lineitem"""
 
 
 @query("choose_reading", f"""WITH r AS ({_OPINIONS}),
 j AS (SELECT a.crop, a.source, a.value, a.ok, a.issues, a.plausible, a.snapped, a.score, count(*) FILTER (WHERE a.origin <> b.origin AND (a.text = b.text OR (a.ok AND b.ok AND a.value = b.value))) AS agreement,
  max(b.score) FILTER (WHERE a.text = b.text OR (b.ok AND a.value = b.value)) AS base FROM r a JOIN r b ON a.crop = b.crop GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY agreement DESC, (ok AND issues = 0) DESC, plausible DESC, snapped DESC, score DESC, source) AS n FROM j)
+n AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY agreement DESC, (ok AND issues = 0) DESC, plausible DESC, snapped DESC, score DESC, source, value DESC) AS n FROM j)
 SELECT crop, source, value, agreement::BIGINT AS agreement, round(CASE WHEN agreement > 0 THEN 0.55 + 0.45 * base ELSE 0.75 * score END * CASE WHEN snapped < 1 THEN 0.6 + 0.4 * snapped ELSE 1 END, 6) AS confidence FROM n WHERE n = 1""")
 def choose_reading(spark, sf_dir):
     l = lambda c: F.col(f"l_{c}")  # noqa: E731, E741
     readings = table(spark, sf_dir, "lineitem").select(
-        l("orderkey").alias("crop"), l("linenumber").alias("source"), (l("linenumber") % 3).alias("origin"), (l("quantity").cast("int") % 4).cast("string").alias("text"), (l("partkey") % 3).cast("string").alias("value"), (l("suppkey") % 4 > 0).alias("ok"),
+        l("orderkey").alias("crop"), (l("partkey") * 10 + l("linenumber")).alias("source"), (l("linenumber") % 3).alias("origin"), (l("quantity").cast("int") % 4).cast("string").alias("text"), (l("partkey") % 3).cast("string").alias("value"), (l("suppkey") % 4 > 0).alias("ok"),
         F.when(l("suppkey") % 3 == 0, 1).otherwise(0).alias("issues"), (l("partkey") % 2 == 0).alias("plausible"), F.when(l("partkey") % 5 == 0, 0.75).otherwise(1.0).alias("snapped"), (l("discount") * 10).alias("score"))
     return decide.choose_reading(readings).withColumn("confidence", F.round("confidence", 6))
 
