@@ -23,10 +23,12 @@ import zlib
 
 from pyspark.sql import DataFrame, functions as F
 
-from casebook.llm.shared import open_in, open_out, shared_folder, written
+from casebook.llm.shared import arrow_batches, open_in, open_out, shared_folder, written
 
 CHUNK_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
+#: What a writer task holds of its rows at once, beside one chunk: batches are small, for payloads are large.
+BATCH_BYTES = 4 << 20
 GZIP_LEVEL = 3
 #: Fixed value: every record's date, so that equal inputs give equal archives.
 DATE = "2000-01-01T00:00:00Z"
@@ -124,7 +126,8 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int =
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*writer.done), (pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    return written(record_table(pages, min_revisit_bytes, chunk_bytes).mapInArrow(run, MANIFEST), "warc-manifest")
+    with arrow_batches(pages.sparkSession, BATCH_BYTES):
+        return written(record_table(pages, min_revisit_bytes, chunk_bytes).mapInArrow(run, MANIFEST), "warc-manifest")
 
 
 class _Members:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,18 @@ def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int):
+    """Within it, plans that run hand Python batches of at most about ``most_bytes``; the session's setting comes back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm
