@@ -60,3 +60,26 @@ def alternative_match(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     first = got.groupBy("photo", "key").agg(F.min_by("got", "nth").alias("got"))
     hit = (F.col("got") == F.col("value")) | F.exists(F.coalesce("accept", F.array().cast("array<string>")), lambda a: a == F.col("got"))
     return truth.join(first, ["photo", "key"], "left").select("photo", "key", F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
+def choice_truth(options: DataFrame, *keys: str) -> DataFrame:
+    """(keys, status, value): the truth of a choice from its options (option, ticked): none, one, or several to review."""
+    ticked = F.array_sort(F.collect_list(F.when(F.col("ticked"), F.col("option"))))
+    chosen = options.groupBy(*keys).agg(ticked.alias("_t"))
+    status = F.when(F.size("_t") == 0, "NOT_PROVIDED").when(F.size("_t") == 1, "KNOWN").otherwise("NEEDS_REVIEW")
+    return chosen.select(*keys, status.alias("status"), F.array_join(F.col("_t").cast("array<string>"), ",").alias("value"))
+
+
+def photo_totals(rows: DataFrame) -> DataFrame:
+    """(photo, fields, correct, silent, review) of real photos: a silent error is a known value that is wrong."""
+    known, wrong = F.col("pred_status") == "KNOWN", ~F.col("value_ok")
+    return rows.groupBy("photo").agg(
+        F.count("*").alias("fields"), F.count_if(F.col("value_ok")).alias("correct"),
+        F.count_if(known & wrong).alias("silent"), F.count_if(F.col("pred_status").isin("NEEDS_REVIEW", "ILLEGIBLE")).alias("review"),
+    )
+
+
+def page_accuracy(pages: DataFrame) -> DataFrame:
+    """(pages, accuracy, seconds): the share of pages whose type was told, and the mean time of a page."""
+    told = (F.col("expected") == F.col("got")).cast("double")
+    return pages.agg(F.count("*").alias("pages"), F.round(F.avg(told), 4).alias("accuracy"), F.round(F.avg("seconds"), 2).alias("seconds"))

@@ -73,3 +73,61 @@ def near_top_labels(found: DataFrame, slack: float = 5.0, band: float = 12.0) ->
     order: by band of height, then from the left."""
     kept = found.withColumn("_top", F.max("score").over(Window.partitionBy("label"))).where(F.col("score") >= F.col("_top") - slack).drop("_top")
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.round(F.col("y") / band), "x", "id")))
+
+
+def marked_boxes(boxes: DataFrame, marks: DataFrame, pad: float = 1.0) -> DataFrame:
+    """The boxes (page, x0, y0, x1, y1) that a mark (page, mx0, my0, mx1, my1) of their page touches within ``pad``."""
+    near = f"mx0 <= x1 + {pad} AND mx1 >= x0 - {pad} AND my0 <= y1 + {pad} AND my1 >= y0 - {pad}"
+    touch = (boxes["page"] == marks["page"]) & F.expr(near)
+    return boxes.join(marks, touch, "left_semi")
+
+
+def nearest_repeat(template: DataFrame, found: DataFrame, m: tuple[float, ...]) -> DataFrame:
+    """(place, spot): for each template label (page, label, place, x, y) the nearest of its repeats that the page shows
+    (page, label, spot, px, py), after the affine map ``m`` (a, b, c, d, e, f)."""
+    a, b, c, d, e, f = m
+    x, y = F.col("x"), F.col("y")
+    moved = template.withColumn("_u", x * a + y * b + F.lit(c)).withColumn("_v", x * d + y * e + F.lit(f))
+    du, dv = F.col("px") - F.col("_u"), F.col("py") - F.col("_v")
+    both = moved.join(found, ["page", "label"]).select("place", "spot", (du * du + dv * dv).alias("far"))
+    return both.groupBy("place").agg(F.min_by("spot", F.struct("far", "spot")).alias("spot"))
+
+
+def row_reach(rows: DataFrame, share: float = 0.48, least: float = 5.0, default: float = 9.0) -> DataFrame:
+    """(table, reach): how far a table's row (table, y) reaches, a share of the least gap between rows that is more than
+    ``least``."""
+    gap = F.col("y") - F.lag("y").over(Window.partitionBy("table").orderBy("y"))
+    gaps = rows.select("table", gap.alias("gap"))
+    return gaps.groupBy("table").agg(F.coalesce(F.min(F.when(F.col("gap") > least, F.col("gap"))) * share, F.lit(default)).alias("reach"))
+
+
+def voted_pixels(pixels: DataFrame, votes: int = 3) -> DataFrame:
+    """Pixels (x, y) that are dark on at least ``votes`` copies of a form: its print."""
+    return pixels.groupBy("x", "y").agg(F.count("*").alias("votes")).where(F.col("votes") >= votes)
+
+
+def nth_label(labels: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(page, anchor, id): the nth label (page, label, id in reading order) of each anchor (anchor, nth from 0): among
+    equal labels where there are any, else among those that begin with it. Anchors are a form's catalog."""
+    own = labels.join(F.broadcast(anchors), F.col("label").startswith(F.col("anchor"))).withColumn("_same", F.col("label") == F.col("anchor"))
+    group = Window.partitionBy("page", "anchor")
+    best = own.withColumn("_any", F.max("_same").over(group)).where("_same = _any")
+    return best.withColumn("_n", F.row_number().over(group.orderBy("id")) - 1).where("_n = nth").select("page", "anchor", "id")
+
+
+def glyphs_to_text(glyphs: DataFrame, share: float = 0.45) -> DataFrame:
+    """(line, text): the glyphs (line, ord, ch, x0, x1, height) of a line in writing order; a gap of more than a share of
+    the glyph's height is a blank."""
+    gap = F.col("x0") - F.lag("x1").over(Window.partitionBy("line").orderBy("ord"))
+    piece = F.when(gap > F.col("height") * share, F.concat(F.lit(" "), F.col("ch"))).otherwise(F.col("ch"))
+    lines = glyphs.select("line", F.struct("ord", piece.alias("piece")).alias("g")).groupBy("line").agg(F.array_sort(F.collect_list("g")).alias("gs"))
+    return lines.select("line", F.btrim(F.regexp_replace(F.array_join(F.transform("gs", lambda g: g["piece"]), ""), r"\s+", " ")).alias("text"))
+
+
+def rows_between_bands(bands: DataFrame, anchors: DataFrame, count: int = 4) -> DataFrame:
+    """(page, row, y): unlabelled rows at their share of the way from one shaded band (page, y) to the next; only pages
+    with ``count`` bands. anchors: (row, band, share), a form's layout."""
+    w = Window.partitionBy("page")
+    order = w.orderBy("y")
+    placed = bands.select("page", "y", (F.row_number().over(order) - 1).alias("band"), F.lead("y").over(order).alias("next"), F.count("*").over(w).alias("n")).where(F.col("n") == count)
+    return placed.join(F.broadcast(anchors), "band").select("page", "row", (F.col("y") + F.coalesce(F.col("share") * (F.col("next") - F.col("y")), F.lit(0.0))).alias("y"))

@@ -113,3 +113,15 @@ def classify(labels: DataFrame, seen: DataFrame) -> DataFrame:
     w = Window.partitionBy("page").orderBy(F.desc("score"), "page_type")
     ranked = score.withColumn("rank", F.row_number().over(w)).withColumn("margin", F.col("score") - F.coalesce(F.lead("score").over(w), F.lit(0.0)))
     return ranked.where("rank = 1").select("page", "page_type", "score", "margin", F.when(F.col("score") < 0.15, "none").when(F.col("margin") < 0.08, "close").otherwise("clear").alias("verdict"))
+
+
+def signature_layout(seen: DataFrame, signatures: DataFrame, least: float = 0.6) -> DataFrame:
+    """(page, layout, score): the layout with the largest share of its signature labels on the page, none below
+    ``least``. seen: (page, label); signatures: (layout, ord, label), a few forms' layouts."""
+    sizes = signatures.groupBy("layout", "ord").agg(F.countDistinct("label").alias("size"))
+    hits = seen.join(F.broadcast(signatures), "label").groupBy("page", "layout", "ord").agg(F.countDistinct("label").alias("hits"))
+    scored = hits.join(F.broadcast(sizes), ["layout", "ord"]).withColumn("score", F.col("hits") / F.col("size"))
+    best = scored.groupBy("page").agg(F.max_by(F.struct("layout", "score"), F.struct(F.col("score"), (-F.col("ord")).alias("o"))).alias("b"))
+    all_ = seen.select("page").distinct().join(best, "page", "left")
+    score = F.coalesce("b.score", F.lit(0.0))
+    return all_.select("page", F.when(score >= least, F.col("b.layout")).alias("layout"), F.round(score, 4).alias("score"))

@@ -42,3 +42,19 @@ def new_rows(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
 def merge_maps(old: str, new: str):
     """Fields of two maps, the new one's where both have a key."""
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), F.col(new))
+
+
+def filled(fields: DataFrame) -> DataFrame:
+    """Fields that hold something to show."""
+    return fields.where(~F.coalesce("display", F.lit("")).isin("", "☐") & (F.col("status") != "NOT_PROVIDED"))
+
+
+def record_number(fields: DataFrame, key: str = "record_number") -> DataFrame:
+    """(page, record_number): its value where its status lets it be read."""
+    readable = (F.col("key") == key) & F.col("status").isin("KNOWN", "NEEDS_REVIEW")
+    return fields.groupBy("page").agg(F.max(F.when(readable, F.col("value"))).alias("record_number"))
+
+
+def repeated_keys(catalog: DataFrame, *keys: str) -> DataFrame:
+    """Keys that a catalog defines more than once."""
+    return catalog.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

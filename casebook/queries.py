@@ -502,3 +502,221 @@ def pii_ui_shape(spark, sf_dir):
     rows = people.select(F.col("c_custkey").alias("page"), (F.abs("c_acctbal") / 10000).alias("confidence"), F.explode(F.array(field("name", F.col("c_name"), True), field("segment", F.nullif("c_mktsegment", F.lit("BUILDING")), False))).alias("f"))
     fields = rows.select("page", "confidence", "f.*", F.lit(None).cast("string").alias("label"), F.lit("KNOWN").alias("status"))
     return records.ui_shape(records.without_pii(fields))
+
+
+# ---- readings, answers and times
+
+_reading_query("separator_only", {"only": X.separators_only}, f"""WITH t AS (SELECT id, regexp_replace(coalesce(x, ''), '\\s', '', 'g') AS t FROM {READING_VALUES})
+SELECT id, t = '' OR (length(t) <= 4 AND regexp_matches(t, '^[/|1lI_\\-.()\\[\\]]*$') AND (regexp_matches(t, '[/|_]') OR length(t) >= 2)) AS only FROM t""")
+_reading_query("reading_cleanup", {"text": X.without_separators}, f"SELECT id, trim(regexp_replace(regexp_replace(coalesce(x, ''), '^[\\s/_|.:;,\\-–]+|[\\s/_|.:;,]+$', '', 'g'), '\\s+', ' ', 'g')) AS text FROM {READING_VALUES}")
+_reading_query("prior_numbers", {"systolic": lambda x: X.pressure_in_cm(x)["systolic"], "diastolic": lambda x: X.pressure_in_cm(x)["diastolic"], "n": X.number}, f"""
+WITH g AS (SELECT id, x, try_cast(regexp_extract(x, '^\\s*(\\d+)\\s*/\\s*(\\d+)', 1) AS DOUBLE) AS s, try_cast(regexp_extract(x, '^\\s*(\\d+)\\s*/\\s*(\\d+)', 2) AS DOUBLE) AS d FROM {READING_VALUES})
+SELECT id, CASE WHEN s > 30 THEN s / 10 ELSE s END AS systolic, CASE WHEN s > 30 THEN d / 10 ELSE d END AS diastolic, {NUM('x')} AS n FROM g""")
+
+GAPPED = [("Bouchra", "bouchra"), ("F�s", "Fès"), ("F�s", "fs"), ("F�s", "frais"), ("�", "—"), ("a+b (c)", "A+B (c)"), ("a+b", "aab"), ("12/03", "12-03"), (None, "x"), ("x", None), ("", "")]
+
+
+@query("gap_matches", f"""WITH v AS (SELECT * FROM (VALUES {_values((i, *r) for i, r in enumerate(GAPPED))}) v(id, truth, got)),
+s AS (SELECT id, regexp_replace({FOLD.replace('lower(x)', 'lower(truth)')}, '[\\s.,;:''’\\-_/]', '', 'g') AS t, regexp_replace({FOLD.replace('lower(x)', 'lower(got)')}, '[\\s.,;:''’\\-_/]', '', 'g') AS g FROM v)
+SELECT id, regexp_matches(g, '^' || replace(regexp_replace(t, '([.\\\\+*?()\\[\\]{{}}^$|])', '\\\\\\1', 'g'), '�', '.?') || '$') AS hit FROM s""")
+def gap_matches(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(GAPPED)], "id bigint, truth string, got string")
+    return rows.select("id", X.gap_matches(F.col("truth"), F.col("got")).alias("hit"))
+
+
+ANSWERS = [
+    (kind, dtype, x)
+    for kind, dtype, texts in [
+        ("check", None, ["Oui", " x ", "☐", "non", "peut-être", "?", "", None]), ("radio", None, ["csc", "DR", "autre", "NSP", None]),
+        ("text", "int", ["12", "l2", "1.2 cm", "abc", "-", "inconnu", "NF", "", None]), ("text", "str", ["  deux  mots ", "—", "non fait", "?", "", None]), (None, None, ["rien", "?", None]),
+    ]
+    for x in texts
+]
+CHOICES = ["DR", "CSC", "CSU"]
+
+
+@query("typed_answer", f"""WITH v AS (SELECT * FROM (VALUES {_values((i, *r) for i, r in enumerate(ANSWERS))}) v(id, kind, dtype, x)), w AS (SELECT *, lower(trim(x)) AS low, trim({FOLD}, ' .') AS word, {SQUEEZE} AS s FROM v),
+m AS (SELECT *, CASE WHEN x IS NULL OR s = '' THEN NULL WHEN regexp_matches(s, '^[\\s\\-–—_~.]+$') THEN 'dash' WHEN word IN {LIST(X.UNKNOWN)} THEN 'unknown' WHEN word IN {LIST(X.NOT_DONE)} THEN 'not_done' END AS mark,
+  CASE WHEN dtype = 'int' THEN (floor({STRICT})::BIGINT)::VARCHAR WHEN dtype = 'str' THEN s END AS parsed FROM w),
+a AS (SELECT id, CASE WHEN low IN {LIST(X.UNKNOWN)} THEN 1 WHEN kind IS NULL THEN 2 WHEN kind = 'check' THEN CASE WHEN low IN {LIST(X.TYPED_YES)} THEN 3 WHEN low IN {LIST(X.TYPED_NO)} THEN 4 ELSE 0 END
+  WHEN kind = 'radio' THEN CASE WHEN upper(low) IN {LIST(CHOICES)} THEN 5 ELSE 0 END WHEN mark = 'unknown' THEN 1 WHEN mark = 'dash' THEN 6 WHEN mark = 'not_done' THEN 7
+  WHEN parsed IS NOT NULL AND s <> '' THEN 8 WHEN dtype IN ('str', 'code') THEN 2 ELSE 0 END AS c, x, low, parsed FROM m)
+SELECT id, CASE c WHEN 1 THEN 'UNKNOWN' WHEN 6 THEN 'NOT_APPLICABLE' WHEN 0 THEN NULL ELSE 'KNOWN' END AS status, CASE c WHEN 2 THEN x WHEN 3 THEN 'true' WHEN 4 THEN 'false' WHEN 5 THEN upper(low) WHEN 8 THEN parsed END AS value FROM a""")
+def typed_answer(spark, sf_dir):
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ANSWERS)], "id bigint, kind string, dtype string, x string")
+    answer = X.typed_answer(F.col("x"), F.col("kind"), F.col("dtype"), F.array(*map(F.lit, CHOICES)))
+    return rows.select("id", answer.alias("a")).select("id", "a.status", "a.value")
+
+
+TIMES = ["2024-05-01T10:00:00Z", "2024-05-01T10:00:00+02:00", "2024-05-01T10:00:00", "2024-05-01", "2035-01-01T00:00:00Z", "no time", "", None]
+NOW = "2025-01-01T00:00:00Z"
+
+
+@query("capture_times", f"""WITH v AS (SELECT id, CASE WHEN regexp_matches(x, '^\\d{{4}}-\\d\\d-\\d\\d$') THEN x || 'T00:00:00' ELSE x END AS x FROM (VALUES {_values(enumerate(TIMES))}) v(id, x)),
+t AS (SELECT id, try_cast(CASE WHEN regexp_matches(x, '(Z|[+\\-]\\d\\d:?\\d\\d)$') THEN x ELSE x || 'Z' END AS TIMESTAMPTZ) AS taken FROM v)
+SELECT id, CASE WHEN taken IS NOT NULL THEN epoch(least(taken, TIMESTAMPTZ '{NOW}'))::BIGINT END AS second FROM t""")
+def capture_times(spark, sf_dir):
+    from casebook.sources.readers import captured_at
+
+    rows = spark.createDataFrame(list(enumerate(TIMES)), "id bigint, x string")
+    return rows.select("id", F.unix_timestamp(captured_at(F.col("x"), F.to_timestamp(F.lit(NOW)))).alias("second"))
+
+
+# ---- views, keys and rules over whole tables
+
+_SHOWN = "SELECT c_custkey AS page, CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN '☐' WHEN 2 THEN NULL ELSE c_mktsegment END AS display, CASE WHEN c_custkey % 5 = 0 THEN 'NOT_PROVIDED' WHEN c_custkey % 5 = 1 THEN 'NEEDS_REVIEW' WHEN c_custkey % 5 = 2 THEN 'ILLEGIBLE' ELSE 'KNOWN' END AS status FROM customer"
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    key, rest = F.col("c_custkey") % 7, F.col("c_custkey") % 5
+    display = F.when(key == 0, "").when(key == 1, "☐").when(key == 2, None).otherwise(F.col("c_mktsegment"))
+    status = F.when(rest == 0, "NOT_PROVIDED").when(rest == 1, "NEEDS_REVIEW").when(rest == 2, "ILLEGIBLE").otherwise("KNOWN")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), display.alias("display"), status.alias("status"))
+
+
+@query("filled_fields", f"SELECT page, display, status FROM ({_SHOWN}) WHERE coalesce(display, '') NOT IN ('', '☐') AND status <> 'NOT_PROVIDED'")
+def filled_fields(spark, sf_dir):
+    return records.filled(_shown(spark, sf_dir))
+
+
+@query("record_number", f"SELECT page, CASE WHEN status IN ('KNOWN', 'NEEDS_REVIEW') THEN display END AS record_number FROM ({_SHOWN})")
+def record_number(spark, sf_dir):
+    return records.record_number(_shown(spark, sf_dir).withColumnRenamed("display", "value").withColumn("key", F.lit("record_number")))
+
+
+@query("linking_always_review", f"SELECT page, 'code' AS key, 'confirm the linking field' AS issue, 0.79::DOUBLE AS cap, 1 AS ord FROM ({_SHOWN})")
+def linking_always_review(spark, sf_dir):
+    return rules.linking(_shown(spark, sf_dir).select("page", F.explode(F.array(F.struct(F.lit("code").alias("key"), F.lit(True).alias("linking")), F.struct(F.lit("name").alias("key"), F.lit(False).alias("linking")))).alias("f")).select("page", "f.*"))
+
+
+@query("rule_facility", f"""WITH p AS (SELECT page, CASE page % 3 WHEN 0 THEN 'DR' WHEN 1 THEN 'CSC' END AS prefix, CASE page % 2 WHEN 0 THEN 'DR' ELSE 'CSU' END AS type, status FROM ({_SHOWN}))
+SELECT page, key FROM p, (VALUES ('facility_name'), ('facility_type')) k(key) WHERE status = 'KNOWN' AND prefix <> type""")
+def rule_facility(spark, sf_dir):
+    prefix = F.when(F.col("page") % 3 == 0, "DR").when(F.col("page") % 3 == 1, "CSC")
+    pages = _shown(spark, sf_dir).select("page", prefix.alias("name_prefix"), F.when(F.col("page") % 2 == 0, "DR").otherwise("CSU").alias("type"), F.col("status").alias("type_status"))
+    return rules.facility_type(pages).select("page", "key")
+
+
+@query("repeated_keys", "SELECT p_brand, p_type, count(*)::BIGINT AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def repeated_keys(spark, sf_dir):
+    return records.repeated_keys(table(spark, sf_dir, "part"), "p_brand", "p_type")
+
+
+@query("new_patients", "SELECT DISTINCT user_id AS code FROM events WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+def new_patients(spark, sf_dir):
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("code")).where("code IS NOT NULL").distinct()
+    return records.new_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code")), seen, "code")
+
+
+@query("encrypted_round_trip", "SELECT c_custkey AS page, sha256(c_name) AS sha256, true AS hidden FROM customer")
+def encrypted_round_trip(spark, sf_dir):
+    from casebook.sources.sinks import decrypted, encrypted
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), F.col("c_name").alias("name"), F.unhex(F.md5(F.col("c_custkey").cast("string"))).alias("key"))
+    stored = encrypted(rows.withColumn("own_key", F.col("key")), "name", "key").withColumn("cipher", F.col("name"))
+    return decrypted(stored, "name", "own_key").select("page", F.sha2(F.col("name").cast("binary"), 256).alias("sha256"), (F.col("cipher") != F.col("name").cast("binary")).alias("hidden"))
+
+
+# ---- layouts
+
+@query("marked_boxes", """SELECT p_partkey AS box FROM part WHERE EXISTS (SELECT 1 FROM supplier WHERE s_suppkey % 10 = p_partkey % 10
+  AND abs(s_acctbal) / 10 <= p_retailprice + 6 AND abs(s_acctbal) / 10 + 2 >= p_retailprice - 1 AND s_suppkey % 50 <= p_size + 2 AND s_suppkey % 50 + 1 >= p_size - 1)""")
+def marked_boxes(spark, sf_dir):
+    boxes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("box"), (F.col("p_partkey") % 10).alias("page"), F.col("p_retailprice").alias("x0"), (F.col("p_retailprice") + 5).alias("x1"), F.col("p_size").alias("y0"), (F.col("p_size") + 1).alias("y1"))
+    x, y = F.abs("s_acctbal") / 10, F.col("s_suppkey") % 50
+    marks = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 10).alias("page"), x.alias("mx0"), (x + 2).alias("mx1"), y.alias("my0"), (y + 1).alias("my1"))
+    return geometry.marked_boxes(boxes, marks).select("box")
+
+
+@query("nearest_repeat", """WITH d AS (SELECT s_suppkey AS place, c_custkey AS spot, c_acctbal - (s_acctbal * 1.01::DOUBLE + s_suppkey * 0::DOUBLE + 2) AS du, c_custkey % 100 - (s_acctbal * 0::DOUBLE + s_suppkey * 1::DOUBLE + 1) AS dv
+  FROM supplier JOIN customer ON c_nationkey = s_nationkey)
+SELECT place, spot FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY du * du + dv * dv, spot) AS n FROM d) WHERE n = 1""")
+def nearest_repeat(spark, sf_dir):
+    template = table(spark, sf_dir, "supplier").select(F.lit(1).alias("page"), F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("place"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("y"))
+    found = table(spark, sf_dir, "customer").select(F.lit(1).alias("page"), F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("spot"), F.col("c_acctbal").alias("px"), (F.col("c_custkey") % 100).alias("py"))
+    return geometry.nearest_repeat(template, found, (1.01, 0.0, 2.0, 0.0, 1.0, 1.0))
+
+
+@query("row_reach", """WITH g AS (SELECT l_orderkey AS t, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS gap FROM lineitem)
+SELECT t AS "table", round(coalesce(min(gap) FILTER (WHERE gap > 5) * 0.48::DOUBLE, 9), 6) AS reach FROM g GROUP BY t""")
+def row_reach(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("table"), F.col("l_quantity").alias("y"))
+    return geometry.row_reach(rows).select("table", F.round("reach", 6).alias("reach"))
+
+
+@query("voted_pixels", "SELECT l_suppkey AS x, l_linenumber AS y, count(*)::BIGINT AS votes FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 3")
+def voted_pixels(spark, sf_dir):
+    return geometry.voted_pixels(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("x"), F.col("l_linenumber").alias("y")))
+
+
+ANCHORS = [("BUILDING", 1), ("AUTO", 0), ("HOUSEHOLD", 100000), ("M", 2), ("none", 0)]
+
+
+@query("nth_label", f"""WITH m AS (SELECT c_nationkey AS page, anchor, nth, c_custkey AS id, c_mktsegment = anchor AS same FROM customer JOIN (VALUES {_values(ANCHORS)}) a(anchor, nth) ON starts_with(c_mktsegment, anchor)),
+b AS (SELECT * FROM (SELECT *, bool_or(same) OVER (PARTITION BY page, anchor) AS has FROM m) WHERE same = has)
+SELECT page, anchor, id FROM (SELECT *, row_number() OVER (PARTITION BY page, anchor ORDER BY id) - 1 AS n FROM b) WHERE n = nth""")
+def nth_label(spark, sf_dir):
+    labels = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"))
+    return geometry.nth_label(labels, spark.createDataFrame(ANCHORS, "anchor string, nth int"))
+
+
+@query("glyphs_to_text", """WITH g AS (SELECT user_id AS line, event_id, substr(event_type, 1, 1) AS ch, value - lag(value + 1) OVER (PARTITION BY user_id ORDER BY event_id) > 10 * 0.45::DOUBLE AS wide FROM events)
+SELECT line, trim(regexp_replace(string_agg(CASE WHEN wide THEN ' ' || ch ELSE ch END, '' ORDER BY event_id), '\\s+', ' ', 'g')) AS text FROM g GROUP BY line""")
+def glyphs_to_text(spark, sf_dir):
+    glyphs = table(spark, sf_dir, "events").select(F.col("user_id").alias("line"), F.col("event_id").alias("ord"), F.substring("event_type", 1, 1).alias("ch"), F.col("value").alias("x0"), (F.col("value") + 1).alias("x1"), F.lit(10).alias("height"))
+    return geometry.glyphs_to_text(glyphs)
+
+
+ROW_SHARES = [("first", 0, 0.25), ("middle", 1, 0.5), ("last", 3, 0.9)]
+
+
+@query("rows_between_bands", f"""WITH b AS (SELECT l_orderkey AS page, l_quantity AS y, row_number() OVER w - 1 AS band, lead(l_quantity) OVER w AS nxt, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity))
+SELECT page, r AS "row", round(y + coalesce(share::DOUBLE * (nxt - y), 0), 6) AS y FROM b JOIN (VALUES {_values(ROW_SHARES)}) a(r, band, share) USING (band) WHERE n = 4""")
+def rows_between_bands(spark, sf_dir):
+    bands = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_quantity").alias("y"))
+    return geometry.rows_between_bands(bands, spark.createDataFrame(ROW_SHARES, "row string, band int, share double")).select("page", "row", F.round("y", 6).alias("y"))
+
+
+@query("box_overlap", """SELECT p_partkey AS box, round(w * h / (p_size * 10 + 100 - w * h), 6) AS iou FROM (SELECT *, greatest(0, least(p_size, p_size / 2 + 10) - p_size / 2)::DOUBLE AS w, greatest(0, least(10, 15) - 5)::DOUBLE AS h FROM part)""")
+def box_overlap(spark, sf_dir):
+    half = F.col("p_size") / 2
+    sides = {"a_x0": F.lit(0.0), "a_y0": F.lit(0.0), "a_x1": F.col("p_size").cast("double"), "a_y1": F.lit(10.0), "b_x0": half, "b_y0": F.lit(5.0), "b_x1": half + 10, "b_y1": F.lit(15.0)}
+    return table(spark, sf_dir, "part").withColumns(sides).select(F.col("p_partkey").alias("box"), F.round(geometry.iou("a", "b"), 6).alias("iou"))
+
+
+@query("photo_issues", "SELECT p_partkey AS photo, concat_ws(',', CASE WHEN p_size * 3 < 60 THEN 'blurry' END, CASE WHEN p_size / 50 < 0.25 THEN 'too dark' END, CASE WHEN p_size / 50 > 0.97 THEN 'too bright' END, CASE WHEN p_partkey % 1000 < 800 THEN 'too small' END) AS issues FROM part")
+def photo_issues(spark, sf_dir):
+    issues = geometry.image_quality(F.col("p_size") * 3, F.col("p_size") / 50, F.col("p_partkey") % 1000)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("photo"), F.array_join(issues, ",").alias("issues"))
+
+
+SIGNATURES = [("cover", 1, x) for x in (1, 2, 3)] + [("delivery", 2, x) for x in (3, 4, 5, 6)] + [("visit", 3, x) for x in (2, 7)]
+
+
+@query("signature_layout", f"""WITH s(layout, ord, label) AS (VALUES {_values(SIGNATURES)}), z AS (SELECT layout, count(*) AS size FROM s GROUP BY 1),
+h AS (SELECT l_orderkey AS page, layout, ord, count(DISTINCT label) / any_value(size) AS score FROM lineitem JOIN s ON l_linenumber = label JOIN z USING (layout) GROUP BY 1, 2, 3),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, ord) AS n FROM h) WHERE n = 1)
+SELECT page, CASE WHEN score >= 0.6 THEN layout END AS layout, round(coalesce(score, 0), 4) AS score FROM (SELECT DISTINCT l_orderkey AS page FROM lineitem) LEFT JOIN b USING (page)""")
+def signature_layout(spark, sf_dir):
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("label"))
+    return match.signature_layout(seen, spark.createDataFrame(SIGNATURES, "layout string, ord int, label int"))
+
+
+# ---- truths and totals
+
+@query("choice_truth", """SELECT l_orderkey AS page, CASE count(*) FILTER (WHERE l_tax >= 0.07) WHEN 0 THEN 'NOT_PROVIDED' WHEN 1 THEN 'KNOWN' ELSE 'NEEDS_REVIEW' END AS status,
+ coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber) FILTER (WHERE l_tax >= 0.07), '') AS value FROM lineitem GROUP BY 1""")
+def choice_truth(spark, sf_dir):
+    options = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("option"), (F.col("l_tax") >= 0.07).alias("ticked"))
+    return evaluate.choice_truth(options, "page")
+
+
+@query("photo_totals", f"SELECT l_orderkey % 50 AS photo, count(*)::BIGINT AS fields, count_if(value_ok)::BIGINT AS correct, count_if(pred_status = 'KNOWN' AND NOT value_ok)::BIGINT AS silent, count_if(pred_status IN ('NEEDS_REVIEW', 'ILLEGIBLE'))::BIGINT AS review FROM ({_EVAL}) GROUP BY 1")
+def photo_totals(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 50 AS photo", "CASE WHEN l_discount < 0.03D THEN 'NEEDS_REVIEW' WHEN l_tax < 0.07D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status", "l_quantity > 5 AS value_ok")
+    return evaluate.photo_totals(rows)
+
+
+@query("page_accuracy", "SELECT count(*)::BIGINT AS pages, round(avg((o_orderstatus = 'F')::INT), 4) AS accuracy, round(avg(o_totalprice), 2) AS seconds FROM orders")
+def page_accuracy(spark, sf_dir):
+    return evaluate.page_accuracy(table(spark, sf_dir, "orders").select(F.lit("F").alias("expected"), F.col("o_orderstatus").alias("got"), F.col("o_totalprice").alias("seconds")))

@@ -16,8 +16,11 @@ def photos(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def captured_at(text, now):
-    """A capture time: ISO 8601, without a zone UTC, never later than ``now``."""
-    return F.least(F.try_to_timestamp(text), now)
+    """A capture time: ISO 8601, without a zone UTC, never later than ``now``; null where it is no such time."""
+    whole = F.when(text.rlike(r"^\d{4}-\d\d-\d\d$"), F.concat(text, F.lit("T00:00:00"))).otherwise(text)
+    zoned = F.when(whole.rlike(r"(Z|[+\-]\d\d:?\d\d)$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    at = F.try_to_timestamp(zoned)
+    return F.when(at.isNotNull(), F.least(at, now))  # least alone would take ``now`` for a text that is no time
 
 
 def extractions(spark: SparkSession, path: str) -> DataFrame:
