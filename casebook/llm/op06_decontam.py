@@ -28,13 +28,24 @@ from pyspark.sql import DataFrame, functions as F
 from casebook.llm import textblock as tb
 
 WIDTH, LITERALS, MIN_WINDOWS, MIN_SHARE = 8, 5, 6, 0.5
-BITMAP_BITS = 22
+#: Shorter windows, and the share of an item's tokens that they must cover on one alignment.
+SHORT_WIDTH, SHORT_LITERALS, MIN_COVER = 5, 3, 0.6
+#: Alignments this far apart can be one occurrence with words put in or left out.
+BAND = 4
+BITMAP_BITS = 25
 SLICE_CHARS = 100_000
 #: Words for numbers, and words for units after a number.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNIT_WORDS = "mm cm m km mg g kg lb lbs oz ml l inch inches foot feet ft yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years mph kph dollar dollars cent cents euro euros percent degree degrees".split()
+#: Words that are no names where they are capitalised.
+COMMON_WORDS = "a about after all also an and any are as at be because before both but by can could did do does each every few find five for four from had has have he her here his how however i if in into is it its many more most much my no nor not now of on once one only or other our she should since so some suppose than that the their them then there these they this those though three through to two under until was we were what when where which while who whom whose why will with would yet you your".split()
+#: Letters that capitals change into others.
+FOLDS = [("ß", "ss"), ("ẞ", "SS"), ("ς", "σ"), ("ſ", "s"), ("ı", "i"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("µ", "μ")]
 NUMBER, NAME, UNIT = 1, 2, 3
-WINDOWS = "id bigint, pos int, h bigint, slots array<bigint>"
+LITERAL, TYPED, OPENED, COUNTED = range(4)
+#: Numbers of window sets by what they are; whole-item sets are WHOLE plus the width.
+LITERAL_SETS, SHORT_SETS, NAMED_SETS, WHOLE = [1, 3], [3, 4, 5], [2, 4], 100
+WINDOWS = "id bigint, s int, pos int, word int, n int, h bigint, slots array<bigint>"
 
 
 @lru_cache(1)
@@ -43,19 +54,28 @@ def _upper() -> np.ndarray:
 
 
 @lru_cache(1)
-def _word_hashes() -> tuple[np.ndarray, np.ndarray]:
-    return np.sort(tb.Words(NUMBER_WORDS).hash), np.sort(tb.Words(UNIT_WORDS).hash)
+def _word_hashes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.sort(tb.Words(NUMBER_WORDS).hash), np.sort(tb.Words(UNIT_WORDS).hash), np.sort(tb.Words(COMMON_WORDS).hash)
 
 
-def typed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: canonical hash of each token, its kind (0: literal), what it stood for, and each text's first token."""
-    words = tb.Words(texts)
+def folded(text: str | None) -> str:
+    """A text with the letters whose capitals are other letters spelt as their capitals' lower case."""
+    text = text or ""
+    if not text.isascii():
+        for a, b in FOLDS:
+            text = text.replace(a, b)
+    return text
+
+
+def typed(words: tb.Words, view: int = TYPED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch in a view: canonical hash of each token, its kind (0: literal), what it stood for, each text's first
+    token, and each token's first word."""
     n = len(words.hash)
-    if not n:
-        return words.hash, np.zeros(0, np.int8), words.hash, words.first
-    kinds = tb.classes()
-    numbers, units = _word_hashes()
     kind = np.zeros(n, np.int8)
+    if not n or view == LITERAL:
+        return words.hash, kind, words.hash, words.first, np.arange(n)
+    kinds = tb.classes()
+    numbers, units, common = _word_hashes()
     kind[(kinds[words.cps[words.start]] == tb.NUMBER) | np.isin(words.hash, numbers)] = NUMBER
     heads = np.zeros(n, bool)
     heads[words.first[:-1][words.first[:-1] < n]] = True
@@ -67,7 +87,9 @@ def typed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     stops = np.concatenate([[0], np.cumsum(stop)])
     starts = heads.copy()
     starts[1:] |= stops[words.start[1:]] > stops[words.end[:-1]]
-    kind[(kind == 0) & _upper()[words.cps[words.start]] & ~starts] = NAME
+    if view != COUNTED:
+        plain = starts if view == TYPED else np.isin(words.hash, common)
+        kind[(kind == 0) & _upper()[words.cps[words.start]] & ~plain] = NAME
     follow = np.zeros(n, bool)
     follow[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & ~starts[1:]
     keep = np.flatnonzero(~follow)
@@ -83,16 +105,16 @@ def typed(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         value = np.where(many, tb.mix(run), value)
     kind = kind[keep]
     place = np.array([0, 0xA11CE5, 0xB0B5, 0xCAFE], np.uint64)
-    return np.where(kind == 0, value, tb.mix(place[kind])), kind, value, np.searchsorted(keep, words.first)
+    return np.where(kind == 0, value, tb.mix(place[kind])), kind, value, np.searchsorted(keep, words.first), keep
 
 
-def windows(texts: list, width: int, literals: int):
-    """(text, position, hash, canonical arrays) of all windows with enough literals in a batch."""
-    canon, kind, value, first = typed(texts)
+def windows(tokens, number: int, width: int, literals: int):
+    """(text, index of the first token, hash) of all windows of kind ``number`` with enough literals in a batch."""
+    canon, kind, _, first, _ = tokens
     n = len(canon) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), kind, value
-    h = np.zeros(n, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    h = np.full(n, number, np.uint64)
     factor = 0x9E3779B97F4A7C15
     for k in range(width):
         h += canon[k : k + n] * np.uint64(pow(factor, k + 1, 1 << 64))
@@ -102,30 +124,45 @@ def windows(texts: list, width: int, literals: int):
     text = np.searchsorted(first, np.arange(n), "right") - 1
     whole = np.arange(n) + width <= first[np.minimum(text + 1, len(first) - 1)]
     at = np.flatnonzero(enough & whole)
-    return text[at], at - first[text[at]], h[at], at, kind, value
+    return text[at], at, h[at]
 
 
-def window_table(texts: DataFrame, key: str, width: int = WIDTH, literals: int = LITERALS, bitmap=None) -> DataFrame:
-    """WINDOWS of a table's texts; with ``bitmap`` (a broadcast of bytes) only those whose hash is in it."""
+def window_table(texts: DataFrame, key: str, sets: dict[int, tuple[int, int, int]], bitmap=None) -> DataFrame:
+    """WINDOWS of a table's texts, of each set (number: view, width, literals); with ``bitmap`` (a broadcast of bytes)
+    only those whose hash is in it, without it those of whole-item sets only where they are the entire text."""
 
     def run(batches):
         import pyarrow as pa
 
-        bits = np.unpackbits(np.frombuffer(bitmap.value, np.uint8), bitorder="little") if bitmap is not None else None
+        bits = np.frombuffer(bitmap.value, np.uint8) if bitmap is not None else None
         for batch in batches:
             ids, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part, rows in tb.batches(all_texts, ids, SLICE_CHARS):
-                text, pos, h, at, kind, value = windows(part, width, literals)
-                if bits is not None:
-                    hit = bits[(h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)] > 0
-                    text, pos, h, at = text[hit], pos[hit], h[hit], at[hit]
-                if not len(text):
-                    continue
-                slots = []
-                for a in at.tolist():
-                    k = np.flatnonzero(kind[a : a + width])
-                    slots.append(value[a + k].view(np.int64).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i] for i in text.tolist()], pa.int64()), pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names=["id", "pos", "h", "slots"])
+                words = tb.Words([folded(t) for t in part])
+                views = {view: typed(words, view) for view in {v for v, _, _ in sets.values()}}
+                for number, (view, width, literals) in sets.items():
+                    tokens = views[view]
+                    _, kind, value, first, keep = tokens
+                    text, at, h = windows(tokens, number, width, literals)
+                    size = np.diff(first)[text]
+                    if bits is not None:
+                        bit = h & np.uint64((1 << BITMAP_BITS) - 1)
+                        hit = (bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    else:
+                        hit = (size == width) | (number < WHOLE)
+                    text, at, h, size = text[hit], at[hit], h[hit], size[hit]
+                    if not len(text):
+                        continue
+                    grid = at[:, None] + np.arange(width)
+                    filled = kind[grid] > 0
+                    offsets = np.concatenate([[0], np.cumsum(filled.sum(1))]).astype(np.int32)
+                    slots = pa.ListArray.from_arrays(pa.array(offsets), pa.array(value[grid][filled].view(np.int64)))
+                    columns = [
+                        pa.array([rows[i] for i in text.tolist()], pa.int64()), pa.array(np.full(len(text), number, np.int32)),
+                        pa.array((at - first[text]).astype(np.int32)), pa.array((keep[at] - words.first[text]).astype(np.int32)),
+                        pa.array(size.astype(np.int32)), pa.array(h.view(np.int64)), slots,
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "s", "pos", "word", "n", "h", "slots"])
 
     return texts.select(F.col(key).cast("bigint"), F.col("text").cast("string")).mapInArrow(run, WINDOWS)
 
@@ -140,26 +177,67 @@ def _bitmap(items: DataFrame) -> bytes:
     return bytes(out)
 
 
+def _scopes(place):
+    """Where evidence is put together: the whole document."""
+    return F.array(*[F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("place")) for scope, at in (("document", F.lit(0)),)])
+
+
+def _judged(groups: DataFrame, width: int, min_windows: int, min_share: float) -> DataFrame:
+    """Of evidence groups (at, links, s, n, item_windows, scope): n_windows, share, same, one_to_one, full, enough."""
+    literal = F.col("s").isin(LITERAL_SETS) | (F.col("s") > WHOLE)
+    short = F.col("s").isin(SHORT_SETS)
+    wide = F.when(short, SHORT_WIDTH).otherwise(F.lit(width))
+    covered = F.aggregate(
+        F.array_sort("at"), F.struct(F.lit(-(1 << 30)).alias("last"), F.lit(0).alias("sum")),
+        lambda acc, x: F.struct(x.alias("last"), (acc["sum"] + F.least(wide, x - acc["last"])).cast("int").alias("sum")), lambda acc: acc["sum"],
+    )
+    n, size = F.col("n"), F.size("links")
+    # as many tokens as the demanded windows hold when they follow each other, all tokens of an item without any
+    need = F.when(n < width, n).otherwise(F.least(F.lit(width + min_windows - 1), F.ceil((n - width + 1) * min_share) + width - 1))
+    need = F.greatest(need, F.ceil(n * MIN_COVER))
+    by_windows = (F.col("n_windows") >= min_windows) | (F.col("share") >= min_share)
+    by_cover = (F.col("scope") != "document") & (literal | (n >= width)) & (covered >= need)
+    out = groups.withColumn("n_windows", F.size("at").cast("bigint")).withColumn("share", F.col("n_windows") / F.col("item_windows"))
+    return out.select(
+        "*", F.forall("links", lambda x: x["slots"] == x["item_slots"]).alias("same"), literal.alias("literal"),
+        ((size == F.size(F.array_distinct("links.slots"))) & (size == F.size(F.array_distinct("links.item_slots")))).alias("one_to_one"),
+        (literal & (F.col("scope") == "one") & (F.col("n_windows") == F.col("item_windows"))).alias("full"),
+        F.when(F.col("s") > WHOLE, True).when(short, by_cover).otherwise(by_windows).alias("enough"),
+    )
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, literals: int = LITERALS, min_windows: int = MIN_WINDOWS, min_share: float = MIN_SHARE) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, share, kind) of each document and item it holds; kind: exact, or
-    template where a slot is filled otherwise."""
+    template where a slot is filled otherwise. Counts are those of the accepted evidence with the largest share."""
     spark = docs.sparkSession
-    items = window_table(benchmark, "item_id", width, literals).withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"}).distinct()
+    sets = {1: (LITERAL, width, width), 2: (TYPED, width, literals)}
+    whole = {WHOLE + k: (LITERAL, k, k) for k in range(1, 1)}
+    items = window_table(benchmark, "item_id", sets | whole).withColumnsRenamed({"id": "item_id", "pos": "item_pos", "word": "item_word", "slots": "item_slots"}).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
-    sizes = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
-    found = window_table(docs, "doc_id", width, literals, bitmap).withColumnRenamed("id", "doc_id")
-    pairs = found.join(items, "h").select("doc_id", "item_id", "item_pos", "slots", "item_slots")
-    slot = F.explode_outer(F.arrays_zip("slots", "item_slots")).alias("s")
-    flat = pairs.select("doc_id", "item_id", "item_pos", slot).select("doc_id", "item_id", "item_pos", F.col("s.slots").alias("a"), F.col("s.item_slots").alias("b"))
-    held = flat.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_pos").alias("n_windows"),
-        F.countDistinct("a").alias("doc_values"), F.countDistinct("b").alias("item_values"), F.countDistinct("a", "b").alias("links"),
-        F.coalesce(F.bool_and(F.col("a") == F.col("b")), F.lit(True)).alias("same"),
-    )
-    judged = held.join(sizes, "item_id").withColumn("share", F.col("n_windows") / F.col("item_windows"))
-    one_to_one = (F.col("links") == F.col("doc_values")) & (F.col("links") == F.col("item_values"))
-    enough = (F.col("n_windows") >= min_windows) | (F.col("share") >= min_share)
-    return judged.where(enough & (F.col("same") | one_to_one)).select("doc_id", "item_id", "n_windows", "item_windows", F.round("share", 4).alias("share"), F.when(F.col("same"), "exact").otherwise("template").alias("kind"))
+    used = {r.s for r in items.where(F.col("s") > WHOLE).select("s").distinct().collect()}
+    sizes = items.groupBy("item_id", "s").agg(F.countDistinct("item_pos").alias("item_windows"), F.max("n").alias("size"))
+    items = items.join(sizes, ["item_id", "s"]).drop("n").withColumnRenamed("size", "n")
+    found = window_table(docs, "doc_id", sets | {k: v for k, v in whole.items() if k in used}, bitmap).withColumnRenamed("id", "doc_id").drop("n")
+    pairs = found.join(items, ["h", "s"])
+    link = F.arrays_zip("slots", "item_slots")
+    keys = ["doc_id", "item_id", "s", "item_windows", "n"]
+    aligned = pairs.groupBy(*keys, (F.col("pos") - F.col("item_pos")).alias("line"), (F.col("word") - F.col("item_word")).alias("word_line")).agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set(link))).alias("links"))
+    # evidence by aligned tokens; what typed views say of slots also by aligned words, to hold against the other views
+    own = F.transform(_scopes(F.col("line")), lambda x: F.struct(x["scope"].alias("scope"), x["place"].alias("place"), F.col("s").isin(NAMED_SETS).alias("named"), F.lit(True).alias("counts")))
+    said = F.transform(_scopes(F.col("word_line")), lambda x: F.struct(x["scope"].alias("scope"), x["place"].alias("place"), F.lit(False).alias("named"), F.lit(False).alias("counts")))
+    scoped = aligned.select("*", F.explode(F.when(F.col("s").isin(NAMED_SETS), F.concat(own, said)).otherwise(own)).alias("g")).select(*keys, "g.*", "at", "links")
+    groups = scoped.groupBy(*keys, "scope", "place", "named", "counts").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    judged = _judged(groups, width, min_windows, min_share)
+    evidence = F.struct("full", "one_to_one", "share", "n_windows", "item_windows", "same")
+    claims = judged.groupBy("doc_id", "item_id", "scope", "place", "named").agg(
+        F.collect_list(F.when(F.col("counts") & F.col("enough") & F.col("one_to_one"), evidence)).alias("claims"),
+        F.bool_or(~F.col("one_to_one")).alias("bad"), F.bool_and("same").alias("all_same"),
+    ).select("doc_id", "item_id", "named", "bad", "all_same", F.explode("claims").alias("c"))
+    # a claim without names stands where no view contradicts it, or where it is the entire item
+    sound = claims.where(F.col("named") | ~F.col("bad") | F.col("c.full"))
+    exact = F.col("c.full") | F.when(F.col("named"), F.col("c.same")).otherwise(F.col("all_same"))
+    best = sound.groupBy("doc_id", "item_id").agg(F.max(F.struct(exact.alias("exact"), F.col("c.share").alias("share"), F.col("c.n_windows").alias("n_windows"), F.col("c.item_windows").alias("item_windows"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.n_windows", "b.item_windows", F.round("b.share", 4).alias("share"), F.when(F.col("b.exact"), "exact").otherwise("template").alias("kind"))
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
