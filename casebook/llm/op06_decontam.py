@@ -178,8 +178,8 @@ def _bitmap(items: DataFrame) -> bytes:
 
 
 def _scopes(place):
-    """Where evidence is put together: the whole document."""
-    return F.array(*[F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("place")) for scope, at in (("document", F.lit(0)),)])
+    """Where evidence is put together: one alignment, two ways of bands of four alignments, and the whole document."""
+    return F.array(*[F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("place")) for scope, at in (("one", place), ("band", F.floor(place / BAND)), ("shifted", F.floor((place + BAND // 2) / BAND)), ("document", F.lit(0)))])
 
 
 def _judged(groups: DataFrame, width: int, min_windows: int, min_share: float) -> DataFrame:

@@ -18,3 +18,9 @@ def test_case_plays_no_part_in_verbatim_copies(spark):
     for change in (str.upper, str.title):
         got = held(spark, [change(t) for t in items], items)
         assert all(got.get((i, i)) == "exact" for i in range(len(items)))
+
+
+def test_slots_are_judged_by_occurrence(spark):
+    texts = [BOX, f"{EGGS} {EGGS.replace('48', '52')}", EGGS.replace("48", "52")]
+    got = held(spark, texts, [BOX, EGGS])
+    assert got == {(0, 0): "exact", (1, 1): "exact", (2, 1): "template"}
