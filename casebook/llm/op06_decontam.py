@@ -210,8 +210,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
     """(doc_id, item_id, n_windows, item_windows, share, kind) of each document and item it holds; kind: exact, or
     template where a slot is filled otherwise. Counts are those of the accepted evidence with the largest share."""
     spark = docs.sparkSession
-    sets = {1: (LITERAL, width, width), 2: (TYPED, width, literals)}
-    whole = {WHOLE + k: (LITERAL, k, k) for k in range(1, 1)}
+    sets = {1: (LITERAL, width, width), 2: (TYPED, width, literals), 3: (LITERAL, SHORT_WIDTH, SHORT_WIDTH)}
+    whole = {WHOLE + k: (LITERAL, k, k) for k in range(1, SHORT_WIDTH)}
     items = window_table(benchmark, "item_id", sets | whole).withColumnsRenamed({"id": "item_id", "pos": "item_pos", "word": "item_word", "slots": "item_slots"}).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(items))
     used = {r.s for r in items.where(F.col("s") > WHOLE).select("s").distinct().collect()}

@@ -24,3 +24,10 @@ def test_slots_are_judged_by_occurrence(spark):
     texts = [BOX, f"{EGGS} {EGGS.replace('48', '52')}", EGGS.replace("48", "52")]
     got = held(spark, texts, [BOX, EGGS])
     assert got == {(0, 0): "exact", (1, 1): "exact", (2, 1): "template"}
+
+
+def test_items_without_a_wide_window(spark):
+    items = ["What is 15 plus 27?", "Who wrote the novel Moby Dick?", "Moby Dick", "In 1998 Bill Clinton and Tony Blair met with Boris Yeltsin in Cologne, Germany.", "...", None]
+    texts = [f"some words before {t} and after" for t in items[:4]] + ["What is 3 plus 4?", "Who wrote the novel Emma?", "Moby the Dick"]
+    got = held(spark, texts, items)
+    assert got == {(0, 0): "exact", (1, 1): "exact", (1, 2): "exact", (2, 2): "exact", (3, 3): "exact"}
