@@ -1,20 +1,32 @@
 """Benchmark decontamination by canonical templates.
 
-A text becomes typed tokens: numbers (digits, number words), names (capitalised words that start no sentence; runs of
-them are one) and units (unit words after a number) become placeholders, other words their lower case. Windows of
-``width`` tokens, of which at least ``literals`` are no placeholders, are hashed. Documents' windows pass a bitmap of
-fixed size built from the benchmark's, then a hash join with the benchmark's windows. What a placeholder stood for goes
-along as a slot; over all windows that a document shares with an item, slots must map one to one, so that a question
-with other numbers or names is caught while a text that merely fits the template is not. A document holds an item if it
-has at least ``min_windows`` of its windows (six windows of eight tokens are 13 tokens in a row) or half of them.
+A text becomes tokens in several views: ``literal`` (every word in lower case, whatever its case), ``typed`` (numbers, that
+is digits and number words, names, that is capitalised words that start no sentence, runs of them being one, and units
+after a number become placeholders), ``opened`` (likewise, but a capitalised word is a name wherever it stands, except
+common words), and ``counted`` (only numbers and units become placeholders, so case plays no part). Windows of ``width``
+tokens (literal, and typed with at least ``literals`` that are no placeholders) and of SHORT_WIDTH tokens (literal, opened,
+counted) are hashed; an item of fewer than SHORT_WIDTH words is one window of its own length. Documents' windows pass a
+bitmap of fixed size built from the benchmark's, then a hash join with the benchmark's windows.
+
+What a placeholder stood for goes along as a slot. Evidence is put together by alignment (document position minus item
+position), by bands of neighbouring alignments (words put in or left out) and over the document; slots must map one to
+one within it, so that a question with other numbers or names is caught while a text that merely fits the template is
+not. Evidence is enough with ``min_windows`` windows of ``width`` (six windows of eight tokens are 13 tokens in a row) or
+``min_share`` of them, or, by short windows on one alignment or band, where these cover as many tokens and MIN_COVER of the
+item; items of fewer than ``width`` tokens only count where they stand word for word. Views that type no names are held
+against those that do: where these show one name or number standing for two at the same place, only the entire item
+word for word counts.
 
 Work per document is linear; only windows in the bitmap leave the scan. The benchmark is joined, not broadcast by
 force, so its size is free; a passage in a third of all documents is a hot join key of slim rows, which AQE splits, and
-groups are (document, item).
+groups are (document, item, alignment).
 
-Defined cases: null and empty texts, and items of fewer than ``width`` tokens, have no windows; rows that share a doc_id
-are one document, null doc_ids are one group with a null doc_id; repeated items count once; other columns are ignored;
-an empty benchmark finds nothing.
+Limits: an item of 8 to about 11 tokens with a changed word in its middle is not found, as less than MIN_COVER of it or
+than the demanded tokens lies in windows; nor are names changed in a text whose case carries no information. An item of
+a word or two is held by every document with these words in a row.
+
+Defined cases: null and empty texts have no windows; rows that share a doc_id are one document, null doc_ids are one
+group with a null doc_id; repeated items count once; other columns are ignored; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -210,7 +222,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, lite
     """(doc_id, item_id, n_windows, item_windows, share, kind) of each document and item it holds; kind: exact, or
     template where a slot is filled otherwise. Counts are those of the accepted evidence with the largest share."""
     spark = docs.sparkSession
-    sets = {1: (LITERAL, width, width), 2: (TYPED, width, literals), 3: (LITERAL, SHORT_WIDTH, SHORT_WIDTH)}
+    sets = {1: (LITERAL, width, width), 2: (TYPED, width, literals), 3: (LITERAL, SHORT_WIDTH, SHORT_WIDTH), 4: (OPENED, SHORT_WIDTH, SHORT_LITERALS), 5: (COUNTED, SHORT_WIDTH, SHORT_LITERALS)}
     whole = {WHOLE + k: (LITERAL, k, k) for k in range(1, SHORT_WIDTH)}
     items = window_table(benchmark, "item_id", sets | whole).withColumnsRenamed({"id": "item_id", "pos": "item_pos", "word": "item_word", "slots": "item_slots"}).distinct()
     bitmap = spark.sparkContext.broadcast(_bitmap(items))

@@ -1,5 +1,7 @@
 """Decontamination: copies that windows over typed tokens alone don't find."""
 
+import pytest
+
 from casebook.llm import op06_decontam as decon
 
 BOX = "A box holds 12 red pens and a bag holds 7 red pens. A box holds 30 red pens and a bag holds 9 red pens. How many pens are there?"
@@ -31,3 +33,20 @@ def test_items_without_a_wide_window(spark):
     texts = [f"some words before {t} and after" for t in items[:4]] + ["What is 3 plus 4?", "Who wrote the novel Emma?", "Moby the Dick"]
     got = held(spark, texts, items)
     assert got == {(0, 0): "exact", (1, 1): "exact", (1, 2): "exact", (2, 2): "exact", (3, 3): "exact"}
+
+
+@pytest.mark.parametrize("old, new", [(("Tom", "5", "3", "2"), ("Sam", "8", "6", "4")), (("Tom", "5", "3", "2"), ("Tom", "7", "3", "2"))])
+def test_names_that_open_sentences_are_slots(spark, old, new):
+    item = "Tom has 5 apples. Tom buys 3 apples. Tom eats 2 apples. How many apples does Tom have now?"
+    text = item
+    for a, b in zip(old, new):
+        text = text.replace(a, b)
+    crossed = text.replace(f"{new[0]} eats", "Ann eats")
+    assert held(spark, [text, crossed], [item]) == {(0, 0): "template"}
+
+
+def test_one_changed_or_added_word_in_a_short_item(spark):
+    item = "the quick brown fox of my uncle jumps over every lazy dog that sleeps outside"
+    words = item.split()
+    texts = [" ".join([*words[:7], "hops", *words[8:]]), " ".join([*words[:7], "often", *words[7:]]), " ".join(words[:6])]
+    assert set(held(spark, texts, [item])) == {(0, 0), (1, 0)}
