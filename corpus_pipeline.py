@@ -31,9 +31,18 @@ def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_held"), "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item. Rows without a doc_id are judged one by one, by a hash of their text."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+    def clean(rows: DataFrame, key: str) -> DataFrame:
+        found = contaminated(rows.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_held")).distinct()
+        return rows.join(found, F.col(key) == F.col("_held"), "left_anti").select(*docs.columns)
+
+    kept = clean(docs.where("doc_id IS NOT NULL"), "doc_id")
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.limit(1).count():
+        kept = kept.unionByName(clean(nameless.withColumn("_key", F.xxhash64("text")), "_key"))
+    return kept
 
 
 def bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
