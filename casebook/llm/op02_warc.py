@@ -1,13 +1,17 @@
 """WARC archives by way of a chunked record table.
 
-A page's payload becomes rows of (record, chunk number, bytes); a payload over the chunk size is never handed to Python
-whole. Writer tasks stream the rows of their partition into gzip members, one per record, and start a new file at a size
-limit. Reader tasks stream archives back to chunk rows with digests carried from chunk to chunk; the last chunk of a
-record holds the full payload's length and digest, and a difference to the header is an error.
-
-Equal payloads are found by SHA-256 with one aggregation combined before the shuffle; a revisit has no payload, so of a
-hot payload one copy is stored, and the join that marks revisits is on (page_id, digest), where no key is hot. Names of
-files carry the attempt; only those in the committed manifest are read, so lost and repeated tasks do no harm.
+A page's payload becomes rows of (record, chunk number, bytes). One stream over them carries each record's digests from
+chunk to chunk and writes the chunk table to the shared folder; a payload over the chunk size is never handed to Python
+whole, and no payload is shuffled. Equal payloads are then found on the table's last chunks, whose digest is that of the
+whole payload, without reading any bytes of payloads: one aggregation combined before the shuffle, and a join of slim
+rows. Writer tasks stream one file of the chunk table each, with the list of its revisits, into gzip members, one per
+record, and start a new archive at a size limit; a revisit has no payload, so of a hot payload one copy is stored.
+Reader tasks stream archives back to chunk rows; the last chunk of a record holds the full payload's length and digest,
+and a difference to the header is an error.
+
+A writer task holds the revisits of one file of the chunk table, which is as large as one partition of the input, and
+one chunk. Names of archives carry the attempt; only those in the committed manifest are read, so lost and repeated
+tasks do no harm.
 
 Defined cases: null html is an empty payload; a null page_id is a response of its own and reads back as null; repeated
 rows of one page_id and payload are responses each; a null url gives no target header, control characters in it are
@@ -27,28 +31,54 @@ from casebook.llm.shared import arrow_batches, open_in, open_out, shared_folder,
 
 CHUNK_BYTES = 1 << 20
 FILE_BYTES = 1 << 30
-#: What a writer task holds of its rows at once, beside one chunk: batches are small, for payloads are large.
-BATCH_BYTES = 4 << 20
+#: What a task holds of its rows at once, beside one chunk: batches and row groups are small, for payloads are large.
+BATCH_BYTES, ROW_GROUP_BYTES, READ_ROWS = 4 << 20, 8 << 20, 8
 GZIP_LEVEL = 3
 #: Fixed value: every record's date, so that equal inputs give equal archives.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+TABLE = "page_id bigint, url string, chunk_no int, last boolean, chunk binary, record bigint, size bigint, sha1 string, sha256 binary"
 MANIFEST = "path string, records bigint, bytes bigint"
 
 
-def record_table(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(page_id, url, first_id, sha1, total, chunk_no, chunk): first_id is the response's page_id for revisits, else
-    null. Chunks of a record follow each other; a revisit has one empty chunk."""
-    base = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("key", F.sha2("payload", 256))
-    slim = base.where(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "key")
-    firsts = slim.groupBy("key").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id")
-    revisits = slim.join(firsts, "key").where("page_id <> first_id").select("page_id", "key", "first_id").distinct()
-    marked = base.join(revisits, ["page_id", "key"], "left")
-    body = F.when(F.col("first_id").isNull(), F.col("payload")).otherwise(F.lit(b""))
-    staged = marked.select("page_id", "url", "first_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("bigint").alias("total"), body.alias("body"))
-    last = F.greatest(F.ceil(F.octet_length("body") / F.lit(chunk_bytes)).cast("int") - 1, F.lit(0))
-    rows = staged.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
-    return rows.select("page_id", "url", "first_id", "sha1", "total", "chunk_no", F.col("body").substr(F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
+def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """TABLE: the chunks of all records, in the shared folder. A record's chunks follow each other in one file; ``record``
+    counts the records of a task; ``size``, ``sha1`` and ``sha256`` are of the payload as far as it has come, digests
+    only on the last chunk."""
+    payload = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
+    last = F.greatest(F.ceil(F.octet_length("payload") / F.lit(chunk_bytes)).cast("int") - 1, F.lit(0))
+    rows = payload.select("*", last.alias("last_no")).select("*", F.explode(F.sequence(F.lit(0), F.col("last_no"))).alias("chunk_no"))
+    chunks = rows.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "chunk_no", (F.col("chunk_no") == F.col("last_no")).alias("last"), F.col("payload").substr(F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("chunk"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        record, sha1, sha256, size = -1, None, None, 0
+        for batch in batches:
+            out = []
+            for no, last, chunk in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                if no == 0:
+                    record, sha1, sha256, size = record + 1, hashlib.sha1(), hashlib.sha256(), 0
+                part = chunk.as_buffer()
+                sha1.update(part), sha256.update(part)
+                size += len(part)
+                out.append((record, size, sha1.hexdigest() if last else None, sha256.digest() if last else None))
+            cols = list(zip(*out)) or [()] * 4
+            added = [pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "record", "size", "sha1", "sha256"])
+
+    with arrow_batches(pages.sparkSession, BATCH_BYTES):
+        return written(chunks.mapInArrow(run, TABLE), "warc-chunks", **{"parquet.block.size": str(ROW_GROUP_BYTES), "maxRecordsPerFile": "0"})
+
+
+def revisits(table: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
+    """(file, revisits array<struct<record, first_id>>) of each file of a chunk table: the records whose payload another
+    page_id, the least, responds with."""
+    slim = table.where("last").select(F.input_file_name().alias("file"), "record", "page_id", "size", "sha256")
+    long = slim.where(F.col("page_id").isNotNull() & (F.col("size") >= min_revisit_bytes))
+    firsts = long.groupBy("sha256").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id")
+    found = long.join(firsts, "sha256").where("page_id <> first_id").groupBy("file").agg(F.collect_list(F.struct("record", "first_id")).alias("revisits"))
+    return slim.select("file").distinct().join(found, "file", "left")
 
 
 def _uri(url: str) -> str:
@@ -86,15 +116,20 @@ class _Writer:
         revisit = first_id is not None
         self._put(self.gzip.compress(_head("revisit" if revisit else "response", page_id, url, digest, first_id, http, 0 if revisit else total)))
         self.left = 0 if revisit else total
+        if revisit:
+            self._end()
 
     def add(self, chunk: bytes) -> None:
         self.left -= len(chunk)
         self._put(self.gzip.compress(chunk))
         if self.left == 0:
-            self._put(self.gzip.compress(b"\r\n\r\n") + self.gzip.flush())
-            self.records += 1
-            if self.bytes >= FILE_BYTES:
-                self.close()
+            self._end()
+
+    def _end(self) -> None:
+        self._put(self.gzip.compress(b"\r\n\r\n") + self.gzip.flush())
+        self.records += 1
+        if self.bytes >= FILE_BYTES:
+            self.close()
 
     def _put(self, data: bytes) -> None:
         self.bytes += len(data)
@@ -110,24 +145,37 @@ class _Writer:
 def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Write all pages; the committed manifest, one row per archive."""
     folder = shared_folder(pages.sparkSession, "warc")
+    plan = written(revisits(chunk_table(pages, chunk_bytes), min_revisit_bytes), "warc-plan")
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
 
         writer = _Writer(folder)
         for batch in batches:
-            cols = [batch.column(i) for i in range(7)]
-            for i in range(batch.num_rows):
-                page_id, url, first_id, sha1, total, no, chunk = (c[i].as_py() for c in cols)
-                if no == 0:
-                    writer.begin(page_id, url, first_id, sha1, total)
-                writer.add(chunk)
+            for file, found in zip(*(c.to_pylist() for c in batch.columns)):
+                first_of = {r["record"]: r["first_id"] for r in found or []}
+                with open_in(file) as heads, open_in(file) as stream:
+                    ends = _ends(pq.ParquetFile(heads))
+                    for rows in pq.ParquetFile(stream, buffer_size=1 << 20).iter_batches(READ_ROWS, columns=["page_id", "url", "record", "chunk_no", "chunk"]):
+                        for page_id, url, record, no, chunk in zip(*(c.to_pylist() for c in rows.columns)):
+                            if no == 0:
+                                writer.begin(page_id, url, first_of.get(record), *next(ends))
+                            if record not in first_of:
+                                writer.add(chunk)
         writer.close()
         if writer.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*writer.done), (pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    with arrow_batches(pages.sparkSession, BATCH_BYTES):
-        return written(record_table(pages, min_revisit_bytes, chunk_bytes).mapInArrow(run, MANIFEST), "warc-manifest")
+    return written(plan.repartition(max(1, plan.count())).mapInArrow(run, MANIFEST), "warc-manifest")
+
+
+def _ends(file):
+    """(sha1, size) of the records of a file of the chunk table, in order."""
+    for rows in file.iter_batches(4096, columns=["last", "sha1", "size"]):
+        for last, sha1, size in zip(*(c.to_pylist() for c in rows.columns)):
+            if last:
+                yield sha1, size
 
 
 class _Members:

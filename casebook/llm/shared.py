@@ -10,22 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only where that setting is unset (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode, which is one
+    machine; RuntimeError on a cluster, where a machine's own folder would split the data."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.gettempdir() + "/casebook-shared"
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to clash with no column (case plays no part)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def written(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """``df`` as a committed Parquet table in the shared folder: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
