@@ -16,7 +16,8 @@ of copies costs one verification per member.
 Frequencies, signatures and links are tables; nothing that grows with the documents reaches the driver. Hot buckets are
 aggregated before the shuffle and joined as slim rows. Texts are shuffled only where a document shares a bucket: a bitmap
 of FILTER_BITS over hashed doc_ids, a broadcast table whose size does not depend on the input, leaves out most others
-before the exact join (a full bitmap lets all pass), and each side of the verification reads only the texts it needs.
+before the exact join (a full bitmap lets all pass), and each side of the verification reads only the texts it needs. A leader's
+text goes to its members' tasks once for GROUP members, not with every member.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are each a class of their
 own; rows that share a doc_id are one class; null doc_ids are left out of the result and stay as they are in ``keep_one``;
@@ -29,11 +30,13 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.llm import textblock as tb
-from casebook.llm.shared import written
+from casebook.llm.shared import unused, written
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 12, 3, 0.8
 BUCKETS = 1 << 18
 TILE = 256
+#: Members of a leader that are verified in one group.
+GROUP = 1024
 SLICE_CHARS = 100_000
 LEVELS = 1 << 16
 FILTER_BITS, PAGE_BITS = 1 << 25, 1 << 15
@@ -174,24 +177,30 @@ def jaccard(a, b) -> float:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """Of (a, b), those whose texts are similar enough."""
+    """Of (a, b), those whose texts are similar enough. A leader b and at most about GROUP of its members are a group;
+    the leader's text is dealt once to each of its groups and comes before the members', one row after the other."""
 
     def run(batches):
         import pyarrow as pa
 
-        last: dict[str, tuple] = {}
+        lead = None
         for batch in batches:
             keep_a, keep_b = [], []
-            for a, b, ta, tb_ in zip(*(c.to_pylist() for c in batch.columns)):
-                if tb_ not in last:
-                    last = {tb_: next(iter(shingles(tb.Words([tb_]), idf.value)))}
-                if jaccard(next(iter(shingles(tb.Words([ta]), idf.value))), last[tb_]) >= threshold:
+            for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own = next(iter(shingles(tb.Words([text]), idf.value)))
+                if a is None:
+                    lead = own
+                elif jaccard(own, lead) >= threshold:
                     keep_a.append(a), keep_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
 
-    t1 = texts.where("member").select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    t2 = texts.where("lead").select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(t1, "a").join(t2, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    groups = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    members = pairs.join(groups, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"))
+    members = members.join(texts.where("member").select(F.col("doc_id").alias("a"), "text"), "a").select("a", "b", "text", "part")
+    leads = groups.join(texts.where("lead").select(F.col("doc_id").alias("b"), "text"), "b")
+    leads = leads.select(F.lit(None).cast("bigint").alias("a"), "b", "text", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    dealt = leads.unionByName(members).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    return dealt.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -297,8 +306,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without all but the least doc_id of each class."""
     classes = near_duplicates(docs, threshold)
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs.columns, "_gone")
+    dropped = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(gone))
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
