@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -26,13 +27,37 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+#: What a tokenizer file must say for ``textblock.byte_bpe_pieces`` to split as it does.
+EXPECTED = {
+    "normalizer": {"": None},
+    "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True},
+    "decoder": {"type": "ByteLevel"},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False},
+}
+SPECIAL_FLAGS = ("single_word", "lstrip", "rstrip", "normalized")
+
+
+def checked(spec: dict) -> None:
+    """ValueError where a tokenizer file asks for what this module does not do."""
+    for part, wants in EXPECTED.items():
+        own = spec.get(part) or {}
+        for name, want in wants.items():
+            if (own.get(name) if name else spec.get(part)) != want:
+                raise ValueError(f"{part} {name or own}: {own.get(name)!r} where {want!r} is expected")
+    added = spec.get("added_tokens", [])
+    if len(added) != 1 or any(added[0].get(f) for f in SPECIAL_FLAGS):
+        raise ValueError("exactly one added token, matched as it stands, is expected")
+
+
 class Codec:
-    """The tokenizer of one file; ``ids_of`` gives a piece's ids, ``pieces`` every id's bytes."""
+    """The tokenizer of one file; ``ids_of`` gives a piece's ids, ``pieces`` every id's bytes. A file that splits, or
+    normalises, otherwise than ``EXPECTED`` is refused."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        checked(json.loads(self.tokenizer.to_str()))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -42,8 +67,6 @@ class Codec:
 
     @property
     def special_text(self) -> str:
-        if len(self.special) != 1:
-            raise ValueError("a vocabulary with exactly one special token is expected")
         return next(iter(self.special))
 
     def ids_of(self, piece: str) -> list[int]:

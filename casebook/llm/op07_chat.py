@@ -12,7 +12,8 @@ conversation is one string in the end, so it is gathered by its conv_id: that gr
 is as large as its longest conversation, whatever number of conversations there are.
 
 Defined cases: null texts and roles are empty; a null conv_id is one conversation of its own; rows of equal turn are
-ordered by role and text; null turns come first; repeated rows are turns of their own; other columns are ignored.
+ordered by role and text; null turns come first; repeated rows are turns of their own; other columns are ignored; an
+empty table gives no conversation (the query still gives its probe, and refuses a table that holds the probe's id).
 """
 
 from __future__ import annotations
@@ -119,7 +120,10 @@ def chat_digests(rows: DataFrame, template: dict = TEMPLATE) -> DataFrame:
 
 
 def with_probe(rows: DataFrame) -> DataFrame:
-    """The table's turns and conversation -1, whose texts are control strings."""
+    """The table's turns and conversation -1, whose texts are control strings. A table that has a conversation -1 of its
+    own is an error when it is read, for the two would be one."""
+    clash = F.raise_error(F.lit("the table holds a conversation -1, which is the probe's id")).cast("bigint")
+    rows = rows.withColumn("conv_id", F.when(F.col("conv_id") == -1, clash).otherwise(F.col("conv_id")))
     probe = rows.sparkSession.createDataFrame([(-1, 0, "user", PROBE_TEXT), (-1, 1, "assistant", PROBE_TEXT)], "conv_id bigint, turn bigint, role string, text string")
     return rows.select("conv_id", "turn", "role", "text").unionByName(probe)
 
