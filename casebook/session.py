@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "casebook", cores: str = "8", shuffle: int = 8, **conf: str) -> SparkSession:
-    """A local session with UTC time, AQE and Arrow; ``conf`` overrides any setting (dots written as ``__``)."""
+    """A local session with UTC time, AQE and Arrow; ``conf`` overrides any setting (dots written as ``__``). Its shared
+    folder is a temporary one, for all its executors are one machine's threads."""
     settings = {
         "spark.sql.shuffle.partitions": str(shuffle),
         "spark.sql.session.timeZone": "UTC",
@@ -15,6 +18,7 @@ def build_session(app: str = "casebook", cores: str = "8", shuffle: int = 8, **c
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.checkpoint.dir": f"file://{tempfile.gettempdir()}/casebook-shared",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in settings.items():
