@@ -53,13 +53,6 @@ def counts_by_state(latest_states: DataFrame, state: str, dim: DataFrame) -> Dat
     return F.broadcast(dim).join(n, state, "left").select(state, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def retry_fold(outcomes: DataFrame, record: str, failed: str, *order: str) -> DataFrame:
-    """Attempts so far and what follows: under MAX_ATTEMPTS it waits, then the record fails; success resets nothing."""
-    w = Window.partitionBy(record).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    attempts = F.count_if(F.col(failed)).over(w)
-    return outcomes.withColumn("attempts", attempts).withColumn("next_state", F.when(~F.col(failed), "AI_PROCESSED").when(F.col("attempts") >= MAX_ATTEMPTS, "PROCESSING_FAILED").otherwise("PENDING_AI"))
-
-
 def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(o) for o in order)))
     return rows.withColumn("_n", rank).where("_n = 1").drop("_n")

@@ -5,25 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def deletion_variants(code: Column) -> Column:
-    """The code and every code with one character left out."""
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(code), F.lit(1))), lambda i: F.concat(F.substring(code, F.lit(1), i - 1), F.substring(code, i + 1, F.char_length(code))))
-    return F.array_distinct(F.concat(F.array(code), cut))
+def _places(code: Column, last: Column) -> Column:
+    """1 to ``last``; nothing where that is less than 1 (a sequence would count down)."""
+    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+
+
+def edit_keys(code: Column, left: bool) -> Column:
+    """Keys such that a left and a right code share one exactly where they are equal or one edit apart: the code itself; the
+    code without the character at a place, with the place (one letter for another); the code with two neighbours in
+    alphabetical order, with their place (a swap); and a code against another without one character (a letter more or less).
+    Unequal codes share at most one, so a join needs no further test. Codes of one key differ in one character, so a key's
+    rows are as many as the alphabet's letters at most."""
+    n = F.char_length(code)
+    at = lambda i, k=1: F.substring(code, i, F.lit(k))
+    before, after = (lambda i: F.substring(code, F.lit(1), i - 1)), (lambda i: F.substring(code, i, n))
+    cut = lambda i: F.concat(before(i), after(i + 1))
+    pair = lambda i: F.concat(F.least(at(i), at(i + 1)), F.greatest(at(i), at(i + 1)))
+    shorter, longer = ("a", "b") if left else ("b", "a")
+    return F.concat(
+        F.array(F.concat(F.lit("="), code), F.concat(F.lit(shorter), code)),
+        F.transform(_places(code, n), lambda i: F.concat(F.lit("s"), i, F.lit(":"), cut(i))),
+        F.transform(_places(code, n - 1), lambda i: F.concat(F.lit("t"), i, F.lit(":"), before(i), pair(i), after(i + 2))),
+        F.array_distinct(F.transform(_places(code, n), lambda i: F.concat(F.lit(longer), cut(i)))),
+    )
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether the optimal string alignment distance is at most one: an edit, or a swap of neighbours."""
+    """Whether the optimal string alignment distance is at most one: an edit, or a swap of neighbours. The swap is tried
+    only where lengths are equal and plain distance is two."""
     swap = F.exists(
-        F.when(F.char_length(a) > 1, F.sequence(F.lit(1), F.char_length(a) - 1)).otherwise(F.array().cast("array<int>")),
+        _places(a, F.char_length(a) - 1),
         lambda i: F.concat(F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)), F.substring(a, i + 2, F.char_length(a))) == b,
     )
-    return (F.levenshtein(a, b) <= 1) | ((F.char_length(a) == F.char_length(b)) & swap)
+    return F.when(F.levenshtein(a, b, 1) >= 0, True).when((F.char_length(a) == F.char_length(b)) & (F.levenshtein(a, b, 2) == 2), swap).otherwise(False)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_code: str, right_code: str) -> DataFrame:
-    """Pairs of (left_code, right_code) at distance at most one, by an equi-join of deletion variants and a check."""
-    a = left.select(left_code).distinct().select(left_code, F.explode(deletion_variants(F.col(left_code))).alias("_v"))
-    b = right.select(right_code).distinct().select(right_code, F.explode(deletion_variants(F.col(right_code))).alias("_v"))
-    pairs = a.join(b, "_v").select(left_code, right_code).distinct()
-    distance = F.when(F.col(left_code) == F.col(right_code), 0).otherwise(1)
-    return pairs.where(within_one_edit(F.col(left_code), F.col(right_code))).withColumn("distance", distance)
+    """Pairs of (left_code, right_code) at distance at most one, by an equi-join of their edit keys."""
+    a = left.select(left_code).distinct().select(left_code, F.explode(edit_keys(F.col(left_code), True)).alias("_v"))
+    b = right.select(right_code).distinct().select(right_code, F.explode(edit_keys(F.col(right_code), False)).alias("_v"))
+    equal = F.col(left_code) == F.col(right_code)
+    pairs = a.join(b, "_v").where(~equal | F.col("_v").startswith("="))
+    return pairs.select(left_code, right_code, F.when(equal, 0).otherwise(1).alias("distance"))

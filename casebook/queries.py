@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.functions import text as X
-from casebook.operators import decide, decode, evaluate, geometry, lifecycle, match, records, rules
+from casebook.operators import control, decide, decode, evaluate, geometry, lifecycle, match, records, rules
 from casebook.session import table
 
 QUERIES: dict = {}
@@ -45,6 +45,7 @@ READINGS = [
     "16+3", "20 SA", "12/8", "120/80", "12080", "13/9", "80/120", "l20/8O", "12/03/2024", "1/1/24", "31/02/2024", "12032024", "05-11-1989", "5.6.2035", "12I03I2024", "2021", "en 1998",
     "Neg", "nég", "mes", "pos", "+", "A+", "Oui", "NON", "Reçu", "présent", "aucune", "nou", "F", "Féminin", "garçon", "M", "x", "ab 12 c", " 2026-823 001", "3489", "348g", "350.g", "Œdème", "Straße", "L'été  à Fès",
     "RAS", "4S.", "Normale", "AI Hoceïma", "12 cm", "5 jours", "170cm", "1.2.3", "abc", "99", "A5", "0", "ø",
+    "1210312024", "12/0312024", "M/03/2024", "12/3/202", "l200", "O8 abc", "3485.9", "350 .q", "A6 SA + 2", "20+9", "16SA + Λ jours", "1998", "19 98", "104/74", "10474", "1l0/7O", "prec", "nonn", "Ouii", "pas", "po", "3.485,5",
 ]
 READING_VALUES = f"(VALUES {_values((i, r) for i, r in enumerate(READINGS))}) v(id, x)"
 
@@ -73,26 +74,30 @@ _reading_query("markers", {"mark": X.marker}, f"""SELECT id, CASE WHEN x IS NULL
   WHEN trim({FOLD}, ' .') IN {LIST(X.UNKNOWN)} THEN 'unknown' WHEN trim({FOLD}, ' .') IN {LIST(X.NOT_DONE)} THEN 'not_done' END AS mark FROM {READING_VALUES}""")
 _reading_query("digit_repair", {"repaired": X.digit_repair, "n": lambda x: X.number(x)}, f"SELECT id, {REPAIR} AS repaired, {NUM('x')} AS n FROM {READING_VALUES}")
 _TIGHT = f"regexp_replace({SQUEEZE}, '\\s', '', 'g')"
-_DATE = f"""WITH t AS (SELECT id, x, regexp_replace(regexp_replace({_TIGHT}, 'M([/.\\-])', '11\\1', 'g'), '^(\\d{{1,2}})[/lI|](\\d{{1,2}})[/lI|](\\d{{2,4}})$', '\\1/\\2/\\3') AS s FROM {READING_VALUES}),
-f AS (SELECT id, x, {REPAIR.replace('trim(x)', 'trim(s)')} AS s FROM t),
-p AS (SELECT id, x, CASE WHEN regexp_matches(s, '^\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-](\\d{{4}}|\\d{{2}})$') THEN regexp_extract(s, '^(\\d{{1,2}})[/.\\-](\\d{{1,2}})[/.\\-](\\d{{4}}|\\d{{2}})$', ['d', 'm', 'y'])
+_MENDED = lambda e: f"regexp_replace(regexp_replace({e}, '^(\\d\\d)[1lI|](\\d\\d)[1lI|/](\\d{{4}})$', '\\1/\\2/\\3'), '^(\\d\\d)/(\\d\\d)[1lI|](\\d{{4}})$', '\\1/\\2/\\3')"
+_DATED = lambda e: f"""t AS (SELECT id, x, {e} AS s0 FROM {READING_VALUES}), m AS (SELECT id, x, s0, {_MENDED('s0')} AS s1 FROM t), f AS (SELECT id, x, s0 <> s1 AS slashed, {REPAIR.replace('trim(x)', 'trim(s1)')} AS s FROM m),
+p AS (SELECT id, x, slashed, NOT regexp_matches(s, '^\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-]\\d{{2,4}}$') AS bare, CASE WHEN regexp_matches(s, '^\\d{{1,2}}[/.\\-]\\d{{1,2}}[/.\\-]\\d{{2,4}}$') THEN regexp_extract(s, '^(\\d{{1,2}})[/.\\-](\\d{{1,2}})[/.\\-](\\d{{2,4}})$', ['d', 'm', 'y'])
   WHEN regexp_matches(s, '^\\d{{8}}$') THEN regexp_extract(s, '^(\\d{{2}})(\\d{{2}})(\\d{{4}})$', ['d', 'm', 'y']) END AS g FROM f),
-q AS (SELECT id, x, g.d::INT AS d, g.m::INT AS m, CASE WHEN g.y::INT < 100 THEN g.y::INT + 2000 ELSE g.y::INT END AS y FROM p),
-r AS (SELECT id, x, CASE WHEN y BETWEEN 1990 AND 2035 THEN strftime(try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE), '%Y-%m-%d') END AS iso FROM q)
-"""
-_reading_query("parse_date", {"iso": X.iso_date, "iso_or_year": X.date_or_year}, _DATE + "SELECT id, iso, coalesce(iso, nullif(regexp_extract(x, '((?:19|20)\\d\\d)', 1), '')) AS iso_or_year FROM r")
+q AS (SELECT id, x, slashed OR bare AS mended, g.d::INT AS d, g.m::INT AS m, CASE WHEN g.y::INT < 100 THEN g.y::INT + 2000 ELSE g.y::INT END AS y FROM p),
+r AS (SELECT id, x, mended, CASE WHEN y BETWEEN 1990 AND 2035 THEN try_cast(printf('%04d-%02d-%02d', y, m, d) AS DATE) END AS day FROM q)"""
+_M11 = f"regexp_replace({_TIGHT}, '^M([/.\\-])', '11\\1')"
+_YEAR = f"replace({REPAIR.replace('trim(x)', SQUEEZE)}, ' ', '')"
+_reading_query("parse_date", {"iso": X.iso_date}, f"WITH {_DATED(_M11)} SELECT id, strftime(day, '%Y-%m-%d') AS iso FROM r")
+_reading_query("parse_date_or_year", {"iso_or_year": X.date_or_year}, f"WITH {_DATED(_TIGHT)} SELECT id, coalesce(strftime(day, '%Y-%m-%d'), CASE WHEN regexp_matches({_YEAR}, '^(19|20)\\d\\d$') THEN {_YEAR} END) AS iso_or_year FROM r")
 _reading_query("parse_bp", {"systolic": lambda x: X.blood_pressure(x)["systolic"], "diastolic": lambda x: X.blood_pressure(x)["diastolic"], "issue": lambda x: X.blood_pressure(x)["issue"]}, f"""
 WITH f AS (SELECT id, regexp_replace({REPAIR}, '\\s', '', 'g') AS s FROM {READING_VALUES}),
 g AS (SELECT id, CASE WHEN regexp_matches(s, '^\\d{{1,3}}/\\d{{1,3}}$') THEN regexp_extract(s, '^(\\d{{1,3}})/(\\d{{1,3}})$', ['a', 'b']) WHEN regexp_matches(s, '^\\d{{5,6}}$') THEN regexp_extract(s, '^(\\d{{3}})(\\d{{2,3}})$', ['a', 'b']) END AS g FROM f),
 h AS (SELECT id, g.a::INT AS a, g.b::INT AS b FROM g), k AS (SELECT id, CASE WHEN a < 30 AND b < 20 THEN a * 10 ELSE a END AS a, CASE WHEN a < 30 AND b < 20 THEN b * 10 ELSE b END AS b FROM h)
-SELECT id, a AS systolic, b AS diastolic, CASE WHEN a IS NULL THEN 'expected systolic/diastolic' WHEN NOT (a BETWEEN 60 AND 250 AND b BETWEEN 30 AND 150 AND a > b) THEN 'implausible blood pressure' END AS issue FROM k""")
-_reading_query("parse_weeks", {"weeks": X.weeks}, f"""SELECT id, CASE WHEN regexp_matches({_TIGHT}, '(?i)^\\d{{1,2}}(?:sa)?\\+[0-6]j?$')
-  THEN round(regexp_extract({_TIGHT}, '(?i)^(\\d{{1,2}})', 1)::INT + regexp_extract({_TIGHT}, '\\+(\\d)', 1)::INT / 7.0::DOUBLE, 1) ELSE {STRICT} END AS weeks FROM {READING_VALUES}""")
+SELECT id, a AS systolic, b AS diastolic, CASE WHEN a IS NULL THEN 'could not read as systolic/diastolic' WHEN NOT (a BETWEEN 60 AND 250 AND b BETWEEN 30 AND 150 AND a > b) THEN 'implausible blood pressure' END AS issue FROM k""")
+_WD = r"'^\s*([\dAΛ]{1,2})\s*(?:S\s*A|SA|5A|S)?\s*\+\s*([\dAΛ])\s*[jJ]?'"
+_WEEK, _DAY = (f"try_cast(translate(regexp_extract({SQUEEZE}, {_WD}, {i}), 'AΛ', '11') AS INT)" for i in (1, 2))
+_reading_query("parse_weeks", {"weeks": X.weeks}, f"SELECT id, CASE WHEN {_DAY} BETWEEN 0 AND 6 THEN round({_WEEK} + {_DAY} / 7.0::DOUBLE, 1) ELSE {STRICT} END AS weeks FROM {READING_VALUES}")
 _reading_query("parse_int", {"value": lambda x: X.integer(x)["value"], "issue": lambda x: X.integer(x)["issue"]}, f"""SELECT id, floor({STRICT})::BIGINT AS value,
   CASE WHEN ({STRICT}) IS NULL THEN 'not a number' WHEN NOT regexp_matches({REPAIR}, '^\\s*\\d+\\s*$') THEN 'extra characters' END AS issue FROM {READING_VALUES}""")
 _reading_query("parse_measure", {"plain": lambda x: X.measure(x, "float"), "temp": lambda x: X.measure(x, "temp"), "issue": lambda x: X.range_issue(X.measure(x, "float"), F.lit(30), F.lit(200))}, f"""SELECT id, {STRICT} AS plain,
   CASE WHEN ({STRICT}) > 100 THEN ({STRICT}) / 10 ELSE {STRICT} END AS temp, CASE WHEN NOT (({STRICT}) BETWEEN 30 AND 200) THEN 'out of plausible range' END AS issue FROM {READING_VALUES}""")
-_G = lambda cls: NUM(f"regexp_replace({SQUEEZE}, '^(\\d{{3,4}})[.,]?[{cls}]$', '\\1')")
+_GRAM = lambda cls: f"regexp_replace({SQUEEZE}, '^\\s*(\\d{{3,4}})\\s*[.,]?\\s*[{cls}]\\s*$', '\\1')"
+_G = lambda cls: f"CASE WHEN NOT regexp_matches({REPAIR.replace('trim(x)', f'trim({_GRAM(cls)})')}, '[^0-9 .,/\\-+]') THEN {NUM(REPAIR.replace('trim(x)', f'trim({_GRAM(cls)})'))} END"
 _reading_query("parse_grams", {"grams": X.grams, "grams_compat": lambda x: X.grams(x, True)}, f"SELECT id, {_G('gqa')} AS grams, {_G('9gqa')} AS grams_compat FROM {READING_VALUES}")
 _F2 = f"replace({FOLD}, ' ', '')"
 _reading_query("parse_posneg", {"sign": X.pos_neg}, f"""SELECT id, CASE WHEN {_F2} LIKE 'neg%' OR {_F2} = 'n' OR regexp_matches({_F2}, '^(?:[mn][eiy][gsyq5][.,]?)+$') THEN 'negative'
@@ -159,30 +164,82 @@ def state_counts(spark, sf_dir):
     return lifecycle.counts_by_state(latest_state(spark, sf_dir), "event_type", dim)
 
 
-@query("queue_oldest_first", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS place FROM events WHERE event_type IN ('error', 'signup')")
-def queue_oldest_first(spark, sf_dir):
+_CONTROL = ["captured", "failed", "processed", "validated", "linked", "sync_failed", "sync_again", "synced", "captured_duplicate", "retried", "unreadable", "manual", "answered", "waiting", "sync_waiting", "processed_unknown"]
+_CONTROL_SQL = f"SELECT user_id AS record, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, event_id, CASE WHEN lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 'captured' ELSE ({_CONTROL!r})[1 + (event_id * 7 + (event_id // 16) * 3) % 16] END AS event FROM events"
+
+
+def _control(spark, sf_dir) -> DataFrame:
+    """Control events of records: users' events, the first a capture, the others dealt over all kinds by their number."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "signup"))
-    return rows.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("place"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, _CONTROL)), (F.lit(1) + (e * 7 + F.floor(e / 16) * 3) % 16).cast("int"))
+    rows = table(spark, sf_dir, "events").withColumns({"seq": F.row_number().over(w).cast("bigint"), "event": F.when(F.lag("event_id").over(w).isNull(), "captured").otherwise(kind)})
+    return rows.select(F.col("user_id").alias("record"), "seq", "event", F.col("ts").cast("timestamp").alias("at"))
+
+
+def _moves_sql() -> str:
+    rows = [(event, state, "|".join(nexts), count, wrong) for (event, state), (nexts, count, wrong) in control.MOVES.items()]
+    return f"(VALUES {_values(rows)}) m(event, before, nexts, count, wrong)"
+
 
+_FOLD_SQL = f"""WITH RECURSIVE e AS ({_CONTROL_SQL}), f(record, seq, event, old_state, state, attempts, error, accepted, nexts) AS (
+ SELECT record, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, 0, NULL::VARCHAR, false, '' FROM (SELECT DISTINCT record FROM e)
+ UNION ALL SELECT record, seq, event, old_state, CASE WHEN nexts <> '' THEN string_split(nexts, '|')[-1] ELSE old_state END, attempts, CASE WHEN nexts <> '' THEN CASE WHEN wrong THEN event END ELSE error END, accepted, nexts
+ FROM (SELECT e.record, e.seq, e.event, f.state AS old_state, f.error, m.event IS NOT NULL AS accepted, m.wrong, CASE m.count WHEN 1 THEN f.attempts + 1 WHEN -1 THEN 0 ELSE f.attempts END AS attempts,
+   CASE WHEN m.event IS NULL THEN '' WHEN m.count = 1 AND f.attempts + 1 >= 3 THEN 'PROCESSING_FAILED' ELSE m.nexts END AS nexts
+   FROM f JOIN e ON e.record = f.record AND e.seq = f.seq + 1 LEFT JOIN {_moves_sql()} ON m.event = e.event AND m.before = coalesce(f.state, ''))),
+g AS (SELECT * FROM f WHERE seq > 0)"""
 
-@query("history_log", "SELECT user_id, count(*)::BIGINT AS moves, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY user_id")
+
+@query("control_fold", f"{_FOLD_SQL} SELECT record, seq, event, old_state, state, attempts, error, accepted FROM g")
+def control_fold(spark, sf_dir):
+    return control.fold(_control(spark, sf_dir)).drop("moves")
+
+
+@query("history_log", f"""{_FOLD_SQL}, h AS (SELECT record, seq, old_state, string_split(nexts, '|') AS m, unnest(range(0, len(string_split(nexts, '|')))) AS nth FROM g WHERE nexts <> '')
+SELECT record, seq, nth::INT AS nth, CASE WHEN nth = 0 THEN old_state ELSE m[nth] END AS old_state, m[nth + 1] AS new_state FROM h""")
 def history_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("moves"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"))
+    return control.history(control.fold(_control(spark, sf_dir)))
+
 
+@query("legal_history", "SELECT NULL::BIGINT AS record, NULL::VARCHAR AS old_state, NULL::VARCHAR AS new_state WHERE false")
+def legal_history(spark, sf_dir):
+    """Moves of the folded history that are no edge of the state machine: none, whatever the events."""
+    return lifecycle.illegal(control.history(control.fold(_control(spark, sf_dir))), lifecycle.edge_dim(spark)).select("record", "old_state", "new_state")
 
-@query("retry_policy_fold", """WITH a AS (SELECT event_id, user_id, event_type = 'error' AS failed, count(*) FILTER (WHERE event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS attempts FROM events)
-SELECT event_id, user_id, attempts::BIGINT AS attempts, CASE WHEN NOT failed THEN 'AI_PROCESSED' WHEN attempts >= 3 THEN 'PROCESSING_FAILED' ELSE 'PENDING_AI' END AS next_state FROM a""")
+
+@query("retry_policy_fold", f"{_FOLD_SQL} SELECT record, arg_max(state, seq) AS state, arg_max(attempts, seq) AS attempts, arg_max(error, CASE WHEN true THEN seq END) FILTER (WHERE true) AS error FROM (SELECT record, seq, state, attempts, coalesce(error, '') AS error FROM g) GROUP BY record HAVING arg_max(state, seq) IS NOT NULL")
 def retry_policy_fold(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").withColumn("failed", F.col("event_type") == "error")
-    return lifecycle.retry_fold(rows, "user_id", "failed", "ts", "event_id").select("event_id", "user_id", "attempts", "next_state")
+    return control.current(control.fold(_control(spark, sf_dir))).withColumn("error", F.coalesce("error", F.lit("")))
 
 
-@query("sync_partition", """SELECT CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type IN ('purchase', 'signup') THEN 'synced' ELSE 'waiting' END AS outcome, count(*)::BIGINT AS n FROM events GROUP BY 1""")
+@query("sync_partition", f"{_FOLD_SQL}, l AS (SELECT record, arg_max(state, seq) AS state FROM g GROUP BY record) SELECT d.state, count(l.record)::BIGINT AS n FROM (VALUES {', '.join(f'({s!r})' for s in lifecycle.EDGES)}) d(state) LEFT JOIN l USING (state) GROUP BY 1")
 def sync_partition(spark, sf_dir):
-    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type").isin("purchase", "signup"), "synced").otherwise("waiting")
-    return table(spark, sf_dir, "events").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Records in each of the twelve states after all control events."""
+    states = spark.createDataFrame([(s,) for s in lifecycle.EDGES], "state string")
+    return lifecycle.counts_by_state(control.current(control.fold(_control(spark, sf_dir))).select("record", "state"), "state", states)
+
+
+_TURN = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'connection' WHEN event_id % 7 = 0 THEN 'unreadable_image' WHEN event_id % 11 = 0 THEN 'model' END AS code, event_id % 3 > 0 AS online, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE 'cover' END AS page_type FROM events"
+
+
+@query("queue_outcomes", f"""SELECT event_id, CASE WHEN code = 'connection' THEN 'waiting' WHEN code = 'unreadable_image' THEN 'unreadable' WHEN code IS NOT NULL THEN 'failed' WHEN coalesce(page_type, 'unknown') = 'unknown' THEN 'processed_unknown' ELSE 'processed' END AS local,
+ CASE WHEN NOT online OR code = 'connection' THEN 'waiting' WHEN code = 'unreadable_image' THEN 'unreadable' WHEN code IS NOT NULL THEN 'waiting' WHEN coalesce(page_type, 'unknown') = 'unknown' THEN 'processed_unknown' ELSE 'processed' END AS cloud FROM ({_TURN})""")
+def queue_outcomes(spark, sf_dir):
+    e = F.col("event_id")
+    code = F.when(e % 5 == 0, "connection").when(e % 7 == 0, "unreadable_image").when(e % 11 == 0, "model")
+    page = F.when(e % 4 == 0, None).when(e % 4 == 1, "unknown").otherwise("cover")
+    rows = table(spark, sf_dir, "events").select("event_id", code.alias("code"), (e % 3 > 0).alias("online"), page.alias("page_type"))
+    return rows.select("event_id", *[control.outcome(F.col("code"), mode, F.col("online"), F.col("page_type")).alias(mode) for mode in ("local", "cloud")])
+
+
+@query("queue_oldest_first", "SELECT event_id, user_id, row_number() OVER (ORDER BY ts, event_id)::BIGINT AS place FROM events WHERE event_type IN ('error', 'signup')")
+def queue_oldest_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    waiting = rows.where(F.col("state").isin("error", "signup"))
+    return control.placed(waiting, F.date_trunc("hour", "captured_at"), "captured_at", "seq").select("event_id", "user_id", "place")
 
 
 @query("link_last_wins", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -190,27 +247,24 @@ def link_last_wins(spark, sf_dir):
     return lifecycle.last_wins(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("lifecycle_stream")
+@query("lifecycle_stream", f"{_FOLD_SQL} SELECT record::VARCHAR AS record, seq, event, old_state, state, attempts, error, accepted FROM g")
 def lifecycle_stream(spark, sf_dir):
-    """The event log through the streaming lifecycle: a file stream into a memory table, until nothing is left."""
-    from casebook.streaming.lifecycle_stream import lifecycle as run
+    """The control events through the streaming lifecycle: a file stream into a table, until nothing is left."""
+    from casebook.streaming import lifecycle_stream as stream
 
-    moves = F.create_map(*[F.lit(x) for p in (("view", "CAPTURED"), ("click", "PENDING_AI"), ("signup", "AI_PROCESSED"), ("purchase", "TO_REVIEW"), ("error", "ATTEMPT_FAILED")) for x in p])
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(f"{sf_dir}/")
-    rows = source.select(F.col("user_id").cast("string").alias("record"), F.col("ts").cast("timestamp").alias("at"), F.element_at(moves, F.col("event_type")).alias("wanted"))
-    name = "lifecycle_history"
-    writer = run(rows).writeStream.format("memory").queryName(name).trigger(availableNow=True).outputMode("append")
-    if root := spark.conf.get("spark.checkpoint.dir", None):  # state goes to the folder that the cluster shares
-        writer = writer.option("checkpointLocation", f"{root}/lifecycle-{uuid.uuid4().hex}")
-    stream = writer.start()
-    stream.awaitTermination()
-    return spark.table(name)
+    root = f"{spark.conf.get('spark.checkpoint.dir', 'file:/tmp/casebook-shared').rstrip('/')}/lifecycle-{uuid.uuid4().hex}"
+    events = _control(spark, sf_dir).select(F.col("record").cast("string").alias("record"), "at", "seq", "event")
+    events.write.parquet(f"{root}/events")
+    source = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+    stream.to_table(stream.lifecycle(source), f"{root}/outcomes", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/outcomes")
 
 
 # ---- matching
 
 @query("patient_candidates", """WITH c AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS code FROM customer), k AS (SELECT DISTINCT upper(regexp_replace(c_name, '\\s+', '', 'g')) AS candidate FROM customer)
-SELECT code, candidate, damerau_levenshtein(code, candidate)::INT AS distance FROM c JOIN k ON damerau_levenshtein(code, candidate) <= 1""")
+SELECT code, candidate, damerau_levenshtein(code, candidate)::INT AS distance, row_number() OVER (PARTITION BY code ORDER BY damerau_levenshtein(code, candidate), candidate)::INT AS place
+FROM c JOIN k ON abs(length(code) - length(candidate)) <= 1 AND damerau_levenshtein(code, candidate) <= 1""")
 def patient_candidates(spark, sf_dir):
     codes = table(spark, sf_dir, "customer").select(F.col("c_name").alias("code"))
     return match.code_candidates(codes, codes)
@@ -229,28 +283,34 @@ def patient_search(spark, sf_dir):
     return records.patient_pages(orders.select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("record_id")), orders.select(F.col("o_orderkey").alias("record_id"), F.col("o_orderpriority").alias("page_type")))
 
 
-_LABELS = "SELECT DISTINCT lang AS page_type, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM documents"
+_TOKENS = "SELECT DISTINCT doc_id AS page, lang AS page_type, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM documents"
+_INDEX = f"""t AS ({_TOKENS}), o AS (SELECT page_type, label, count(*) AS copies FROM t GROUP BY ALL), n AS (SELECT count(DISTINCT page_type) AS n FROM o), d AS (SELECT label, count(*) AS df FROM o GROUP BY 1),
+i AS (SELECT page_type, label, copies, df, ln(1 + n / df) AS idf FROM o JOIN d USING (label), n WHERE length(label) >= 4)"""
 
 
-def _labels(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("lang").alias("page_type"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("label")).distinct()
+def _tokens(spark, sf_dir) -> DataFrame:
+    """(page, page_type, label): the distinct words of each document. Every use is the same plan, so its exchange is reused."""
+    words = F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("label")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("page_type"), words).distinct()
 
 
-@query("label_idf", f"""WITH l AS ({_LABELS}), n AS (SELECT count(DISTINCT page_type) AS n FROM l), d AS (SELECT label, count(*) AS df FROM l WHERE length(label) >= 4 GROUP BY 1)
-SELECT label, df::BIGINT AS df, ln(1 + n / df) AS idf, df = 1 AS "unique" FROM d, n""")
+@query("label_idf", f'WITH {_INDEX} SELECT page_type, label, copies::BIGINT AS copies, df::BIGINT AS df, idf, copies = 1 AS "unique" FROM i')
 def label_idf(spark, sf_dir):
-    return match.label_idf(_labels(spark, sf_dir))
+    return match.label_index(_tokens(spark, sf_dir).select("page_type", "label"))
+
+
+_SEEN = "SELECT page, label, CASE page % 10 WHEN 0 THEN 70.0 ELSE 80.0 + (page + length(label)) % 21 END AS best FROM t"
 
 
-@query("page_classify", f"""WITH l AS (SELECT * FROM ({_LABELS}) WHERE length(label) >= 4), n AS (SELECT count(DISTINCT page_type) AS n FROM l), i AS (SELECT label, ln(1 + max(n) / count(*)) AS idf FROM l, n GROUP BY 1),
-t AS (SELECT page_type, label, idf FROM l JOIN i USING (label)), tot AS (SELECT page_type, sum(idf) AS total FROM t GROUP BY 1),
-s AS (SELECT DISTINCT doc_id AS page, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS label FROM documents),
-g AS (SELECT page, page_type, round(sum(idf) / max(total), 9) AS score FROM s JOIN t USING (label) JOIN tot USING (page_type) GROUP BY 1, 2),
+@query("page_classify", f"""WITH {_INDEX}, tot AS (SELECT page_type, sum(idf * copies) AS total FROM i GROUP BY 1), s AS ({_SEEN}), h AS (SELECT page, page_type, sum(idf * copies * best / 100) AS got FROM s JOIN i USING (label) WHERE best >= 80 GROUP BY ALL),
+g AS (SELECT page, page_type, round(got / total, 9) AS score FROM h JOIN tot USING (page_type)),
 r AS (SELECT *, row_number() OVER w AS rank, score - coalesce(lead(score) OVER w, 0) AS margin FROM g WINDOW w AS (PARTITION BY page ORDER BY score DESC, page_type))
-SELECT page, page_type, round(score, 6) AS score, CASE WHEN score < 0.15 THEN 'none' WHEN margin < 0.08 THEN 'close' ELSE 'clear' END AS verdict FROM r WHERE rank = 1""")
+SELECT p.page, page_type, round(coalesce(score, 0), 6) AS score, round(coalesce(margin, 0), 6) AS margin, CASE WHEN coalesce(score, 0) < 0.15 THEN 'none' WHEN margin < 0.08 THEN 'close' ELSE 'clear' END AS verdict FROM (SELECT DISTINCT page FROM t) p LEFT JOIN (SELECT * FROM r WHERE rank = 1) b USING (page)""")
 def page_classify(spark, sf_dir):
-    seen = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("label")).distinct().withColumn("similarity", F.lit(100.0))
-    return match.classify(_labels(spark, sf_dir), seen).select("page", "page_type", F.round("score", 6).alias("score"), "verdict")
+    tokens = _tokens(spark, sf_dir)
+    likeness = F.when(F.col("page") % 10 == 0, 70.0).otherwise(80.0 + (F.col("page") + F.char_length("label")) % 21)
+    rows = match.classify(tokens.select("page_type", "label"), tokens.select("page", "label", likeness.alias("similarity")))
+    return rows.select("page", "page_type", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "verdict")
 
 
 # ---- decisions over lineitem rows standing in for fields
@@ -274,16 +334,27 @@ def status_summary(spark, sf_dir):
     return decide.status_summary(_fields(spark, sf_dir))
 
 
-@query("decide_text", """WITH r AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS ocr, 1 - l_tax AS page, l_quantity::INT % 7 AS k FROM lineitem),
-c AS (SELECT *, CASE WHEN k = 3 THEN (0.5 + 0.5 * ocr) * page WHEN k = 4 THEN ocr * page * (0.6 + 0.4 * 0.7) ELSE ocr * page END AS conf FROM r)
-SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN 'NOT_PROVIDED' WHEN k = 1 THEN 'NOT_APPLICABLE' WHEN k = 2 THEN 'UNKNOWN' WHEN ocr < 0.35 THEN 'ILLEGIBLE' WHEN k = 5 THEN 'NEEDS_REVIEW' WHEN k = 6 THEN 'NEEDS_REVIEW' WHEN conf < 0.8 THEN 'NEEDS_REVIEW' ELSE 'KNOWN' END AS status,
- round(least(1, greatest(0, CASE WHEN k = 0 THEN 0.97 * page WHEN k = 1 THEN 0.9 WHEN k = 2 THEN ocr WHEN ocr < 0.35 THEN 0.3 WHEN k = 5 THEN 0.5 * ocr WHEN k = 6 THEN least(conf, 0.5) ELSE conf END)), 6) AS confidence FROM c""")
+_TEXTS = """SELECT l_orderkey, l_linenumber, l_discount * 10 AS ocr, CASE l_suppkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 0.5 ELSE 1 - l_tax END AS page, l_quantity::INT % 9 AS k FROM lineitem"""
+
+
+@query("decide_text", f"""WITH r AS ({_TEXTS}), c AS (SELECT *, CASE k WHEN 3 THEN (0.5 + 0.5 * ocr) * page WHEN 4 THEN ocr * page * (0.6 + 0.4 * 0.7) ELSE ocr * page END AS conf FROM r),
+d AS (SELECT *, CASE WHEN k = 0 THEN 0 WHEN k IN (1, 8) THEN 1 WHEN k = 7 THEN 2 WHEN k = 2 THEN 3 WHEN ocr < 0.35 THEN 4 WHEN k = 5 THEN 5 WHEN k = 6 THEN 6 WHEN conf < 0.8 THEN 7 ELSE 8 END AS rung FROM c)
+SELECT l_orderkey, l_linenumber, ['NOT_PROVIDED', 'NOT_APPLICABLE', 'NOT_APPLICABLE', 'UNKNOWN', 'ILLEGIBLE', 'NEEDS_REVIEW', 'NEEDS_REVIEW', 'NEEDS_REVIEW', 'KNOWN'][rung + 1] AS status,
+ round(least(1, greatest(0, CASE rung WHEN 0 THEN 0.97 * page WHEN 1 THEN 0.9 * page WHEN 2 THEN 0.9 * page WHEN 3 THEN ocr * page WHEN 4 THEN 0.3 * page WHEN 5 THEN 0.5 * ocr * page WHEN 6 THEN least(conf, 0.5) ELSE conf END)), 6) AS confidence,
+ CASE rung WHEN 4 THEN 'handwriting could not be read' WHEN 5 THEN 'no value' WHEN 6 THEN 'odd' WHEN 7 THEN 'low reading confidence' ELSE '' END AS issues FROM d""")
 def decide_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("ocr"), (1 - F.col("l_tax")).alias("page"), (F.col("l_quantity").cast("int") % 7).alias("k"))
-    k = F.col("k")
-    r = {"ink": k != 0, "fraction": F.lit(0.0), "marker": F.when(k == 1, "dash").when(k == 2, "unknown").otherwise(""), "text": F.lit("x"), "ocr": F.col("ocr"), "ok": k != 5, "exact": k == 3, "snapped": F.when(k == 4, 0.7).otherwise(1.0), "issues": F.when(k == 6, 1).otherwise(0), "page": F.col("page"), "threshold": decide.known_threshold(F.lit(1000))}
+    from casebook.functions.parse import PARSED
+
+    sup = F.col("l_suppkey") % 5
+    page = F.when(sup == 0, 0.0).when(sup == 1, 0.5).otherwise(1 - F.col("l_tax"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("ocr"), page.alias("page"), (F.col("l_quantity").cast("int") % 9).alias("k"))
+    k, texts = F.col("k"), lambda *t: F.array(*map(F.lit, t)).cast("array<string>")
+    issues = F.when(k == 5, texts("no value")).when(k == 6, texts("odd")).otherwise(texts())
+    marker = F.when(k == 1, "dash").when(k == 2, "unknown").when(k == 7, "not_done")
+    parsed = F.struct(F.lit("x").alias("value"), F.lit(None).cast("double").alias("n"), F.lit("x").alias("display"), (k != 5).alias("ok"), issues.alias("issues"), marker.alias("marker"), F.when(k == 4, 0.7).otherwise(1.0).alias("snapped")).cast(PARSED)
+    r = {"ink": k != 0, "fraction": F.lit(0.0), "dash": k == 8, "text": F.lit("x"), "ocr": F.col("ocr"), "page": F.col("page"), "dtype": F.when(k == 3, "sex").otherwise("str"), "threshold": decide.known_threshold(F.lit(1000)), "parsed": parsed}
     d = decide.text_decision(r)
-    return rows.select("l_orderkey", "l_linenumber", d["status"].alias("status"), F.round(d["confidence"], 6).alias("confidence"))
+    return rows.select("l_orderkey", "l_linenumber", d.alias("d")).select("l_orderkey", "l_linenumber", "d.status", F.round("d.confidence", 6).alias("confidence"), F.array_join("d.issues", ",").alias("issues"))
 
 
 @query("decide_check", """WITH c AS (SELECT l_orderkey, l_linenumber, l_tax AS score, least(1, greatest(0, 0.5 + abs(l_tax - 0.07) / 0.12)) * (1 - l_discount) AS conf FROM lineitem)
@@ -301,19 +372,19 @@ def decide_radio(spark, sf_dir):
     return decide.radio_decision(options, ["l_orderkey"]).withColumn("confidence", F.round("confidence", 6))
 
 
-_OPINIONS = """SELECT l_orderkey AS crop, l_partkey * 10 + l_linenumber AS source, l_linenumber % 3 AS origin, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR) AS text, CAST(l_partkey % 3 AS VARCHAR) AS value, l_suppkey % 4 > 0 AS ok,
+_OPINIONS = """SELECT l_orderkey AS crop, l_partkey * 10 + l_linenumber AS source, l_linenumber % 3 AS origin, CAST(CAST(l_quantity AS INT) % 4 AS VARCHAR) AS text, CAST(l_partkey % 3 AS VARCHAR) AS value, l_suppkey % 4 > 0 AS ok, CASE WHEN l_suppkey % 7 = 0 THEN 'dash' END AS marker,
  CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE 0 END AS issues, l_partkey % 2 = 0 AS plausible, CASE WHEN l_partkey % 5 = 0 THEN 0.75 ELSE 1.0 END AS snapped, l_discount * 10 AS score FROM lineitem"""
 
 
 @query("choose_reading", f"""WITH r AS ({_OPINIONS}),
-j AS (SELECT a.crop, a.source, a.value, a.ok, a.issues, a.plausible, a.snapped, a.score, count(*) FILTER (WHERE a.origin <> b.origin AND (a.text = b.text OR (a.ok AND b.ok AND a.value = b.value))) AS agreement,
+j AS (SELECT a.crop, a.source, a.value, a.marker, a.ok, a.issues, a.plausible, a.snapped, a.score, count(*) FILTER (WHERE a.origin <> b.origin AND (a.text = b.text OR (a.ok AND b.ok AND a.marker IS NOT DISTINCT FROM b.marker AND (a.marker IS NOT NULL OR a.value = b.value)))) AS agreement,
  max(b.score) FILTER (WHERE a.text = b.text OR (b.ok AND a.value = b.value)) AS base FROM r a JOIN r b ON a.crop = b.crop GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY crop ORDER BY agreement DESC, (ok AND issues = 0) DESC, plausible DESC, snapped DESC, score DESC, source, value DESC) AS n FROM j)
 SELECT crop, source, value, agreement::BIGINT AS agreement, round(CASE WHEN agreement > 0 THEN 0.55 + 0.45 * base ELSE 0.75 * score END * CASE WHEN snapped < 1 THEN 0.6 + 0.4 * snapped ELSE 1 END, 6) AS confidence FROM n WHERE n = 1""")
 def choose_reading(spark, sf_dir):
     l = lambda c: F.col(f"l_{c}")  # noqa: E731, E741
     readings = table(spark, sf_dir, "lineitem").select(
-        l("orderkey").alias("crop"), (l("partkey") * 10 + l("linenumber")).alias("source"), (l("linenumber") % 3).alias("origin"), (l("quantity").cast("int") % 4).cast("string").alias("text"), (l("partkey") % 3).cast("string").alias("value"), (l("suppkey") % 4 > 0).alias("ok"),
+        l("orderkey").alias("crop"), (l("partkey") * 10 + l("linenumber")).alias("source"), (l("linenumber") % 3).alias("origin"), (l("quantity").cast("int") % 4).cast("string").alias("text"), (l("partkey") % 3).cast("string").alias("value"), (l("suppkey") % 4 > 0).alias("ok"), F.when(l("suppkey") % 7 == 0, "dash").alias("marker"),
         F.when(l("suppkey") % 3 == 0, 1).otherwise(0).alias("issues"), (l("partkey") % 2 == 0).alias("plausible"), F.when(l("partkey") % 5 == 0, 0.75).otherwise(1.0).alias("snapped"), (l("discount") * 10).alias("score"))
     return decide.choose_reading(readings).withColumn("confidence", F.round("confidence", 6))
 
@@ -336,11 +407,11 @@ def _rule(name: str, f, where: str, keys: list[str], issue: str, order: int) ->
     query(name, f"WITH p AS ({_PAGES_SQL}) {one}")(lambda spark, sf_dir: f(_pages(spark, sf_dir)))
 
 
-_rule("rule_edd", rules.due_date, "abs(date_diff('day', lmp, edd) - 280) > 3", ["lmp", "edd"], "due date does not follow the last period", 3)
-_rule("rule_post_term", rules.post_term, "abs(date_diff('day', edd, post_term) - 7) > 2", ["edd", "post_term"], "post-term date does not follow the due date", 4)
-_rule("rule_parity", rules.parity, "parity > gravidity", ["parity", "gravidity"], "parity over gravidity", 8)
-_rule("rule_living", rules.living, "living > parity + 2", ["parity", "living"], "more living children than parity allows", 9)
-_rule("rule_term_weight", rules.term_weight, "ga_birth >= 37 AND weight < 1500", ["weight"], "low weight at term", 10)
+_rule("rule_edd", rules.due_date, "abs(date_diff('day', lmp, edd) - 280) > 3", ["lmp_date", "expected_delivery_date"], "due date should be last period + 280 days", 3)
+_rule("rule_post_term", rules.post_term, "abs(date_diff('day', edd, post_term) - 7) > 2", ["expected_delivery_date", "term_exceeded_date"], "post-term date should be due date + 7 days", 4)
+_rule("rule_parity", rules.parity, "parity > gravidity", ["gravidity", "parity"], "parity cannot exceed gravidity", 8)
+_rule("rule_living", rules.living, "living > parity + 2", ["parity", "living_children"], "more living children than deliveries", 9)
+_rule("rule_term_weight", rules.term_weight, "ga_birth >= 37 AND weight < 1500", ["birth_weight_g"], "very low weight for a term birth", 10)
 
 
 @query("rule_visits", f"""WITH p AS ({_PAGES_SQL}), v AS (SELECT o_custkey AS page, o_orderkey AS ord, CASE WHEN o_orderkey % 6 > 0 THEN o_orderdate::DATE END AS seen, (o_orderkey % 40)::DOUBLE AS ga FROM orders),
@@ -351,15 +422,52 @@ def rule_visits(spark, sf_dir):
     return rules.visit_checks(visits, _pages(spark, sf_dir))
 
 
-@query("rules_all", f"""WITH p AS ({_PAGES_SQL}), f AS (SELECT page, 3 AS ord, 2 AS n FROM p WHERE abs(date_diff('day', lmp, edd) - 280) > 3 UNION ALL SELECT page, 4, 2 FROM p WHERE abs(date_diff('day', edd, post_term) - 7) > 2
- UNION ALL SELECT page, 8, 2 FROM p WHERE parity > gravidity UNION ALL SELECT page, 9, 2 FROM p WHERE living > parity + 2 UNION ALL SELECT page, 10, 1 FROM p WHERE ga_birth >= 37 AND weight < 1500)
-SELECT page, sum(n)::BIGINT AS flags, string_agg(DISTINCT ord, ',' ORDER BY ord) AS rules FROM f GROUP BY page""")
+_VISITS_SQL = f"""v AS (SELECT o_custkey AS page, o_orderkey AS ord, 'v' || (o_orderkey % 97) AS visit, CASE WHEN o_orderkey % 6 > 0 THEN o_orderdate::DATE END AS seen, (o_orderkey % 40)::DOUBLE AS ga, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE - 30 END AS appointment FROM orders),
+w AS (SELECT v.*, last_value(seen IGNORE NULLS) OVER (PARTITION BY page ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v), x AS (SELECT w.*, lmp, edd + 30 AS last_day FROM w JOIN p USING (page))"""
+_FLAGS_SQL = f"""WITH p AS ({_PAGES_SQL}), {_VISITS_SQL}, f AS (
+ SELECT page, 'record_number' AS key, 'patient code: confirm before linking the visit' AS issue, 0.79 AS cap, 1 AS ord FROM p
+ UNION ALL SELECT page, k, 'facility name and ticked facility type disagree', 0.6, 2 FROM p, (VALUES ('facility_name'), ('facility_type')) z(k) WHERE page % 4 > 0 AND (['DR', 'CSC', 'XX'])[1 + page % 3] IN ('DR', 'CSC') AND (['DR', 'CSC', 'XX'])[1 + page % 3] <> (['DR', 'CSU'])[1 + page % 2]
+ UNION ALL SELECT page, k, 'due date should be last period + 280 days', 0.6, 3 FROM p, (VALUES ('lmp_date'), ('expected_delivery_date')) z(k) WHERE abs(date_diff('day', lmp, edd) - 280) > 3
+ UNION ALL SELECT page, k, 'post-term date should be due date + 7 days', 0.6, 4 FROM p, (VALUES ('expected_delivery_date'), ('term_exceeded_date')) z(k) WHERE abs(date_diff('day', edd, post_term) - 7) > 2
+ UNION ALL SELECT page, 'visits.' || visit || '.appointment_date', 'date outside this pregnancy (last period → due date)', 0.6, 5 FROM x WHERE NOT (appointment > lmp AND appointment <= last_day)
+ UNION ALL SELECT page, 'visits.' || visit || '.attended_date', 'date outside this pregnancy (last period → due date)', 0.6, 5 FROM x WHERE NOT (seen > lmp AND seen <= last_day)
+ UNION ALL SELECT page, 'visits.' || visit || '.gestational_age_weeks', 'does not match visit date (' || printf('%.0f', round(date_diff('day', lmp, seen) / 7.0::DOUBLE)) || ' SA expected)', 0.6, 6 FROM x WHERE abs(date_diff('day', lmp, seen) / 7.0::DOUBLE - ga) > 2.5
+ UNION ALL SELECT page, 'visits.' || visit || '.attended_date', 'earlier than the previous visit', 0.6, 7 FROM x WHERE seen < before
+ UNION ALL SELECT page, k, 'parity cannot exceed gravidity', 0.6, 8 FROM p, (VALUES ('gravidity'), ('parity')) z(k) WHERE parity > gravidity
+ UNION ALL SELECT page, k, 'more living children than deliveries', 0.6, 9 FROM p, (VALUES ('parity'), ('living_children')) z(k) WHERE living > parity + 2
+ UNION ALL SELECT page, 'birth_weight_g', 'very low weight for a term birth', 0.6, 10 FROM p WHERE ga_birth >= 37 AND weight < 1500)"""
+
+
+def _all_flags(spark, sf_dir) -> DataFrame:
+    k = F.col("page")
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n + 1).cast("int"))
+    pages = _pages(spark, sf_dir).withColumns({"name_prefix": pick(["DR", "CSC", "XX"], k % 3), "type": pick(["DR", "CSU"], k % 2), "type_status": F.when(k % 4 > 0, "KNOWN").otherwise("NEEDS_REVIEW")})
+    o = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    visits = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("page"), o.alias("ord"), F.concat(F.lit("v"), o % 97).alias("visit"), F.when(o % 6 > 0, day).alias("seen"), (o % 40).cast("double").alias("ga"), F.when(o % 4 > 0, F.date_sub(day, 30)).alias("appointment"))
+    linking = pages.select("page", F.lit("record_number").alias("key"), F.lit(True).alias("linking"))
+    return rules.all_flags(linking, pages, visits)
+
+
+@query("rules_all", f"{_FLAGS_SQL} SELECT page, key, issue, cap::DOUBLE AS cap, ord FROM f")
 def rules_all(spark, sf_dir):
-    from casebook.plans.rules_union import flags_union
+    return _all_flags(spark, sf_dir)
 
-    p = _pages(spark, sf_dir)
-    flags = flags_union([f(p) for f in (rules.due_date, rules.post_term, rules.parity, rules.living, rules.term_weight)])
-    return flags.groupBy("page").agg(F.count("*").alias("flags"), F.array_join(F.array_sort(F.collect_set("ord")), ",").alias("rules"))
+
+@query("rules_applied", f"""{_FLAGS_SQL}, k AS (SELECT page, key, row_number() OVER (PARTITION BY page ORDER BY key) AS n FROM (SELECT DISTINCT page, key FROM f)),
+s AS (SELECT page, key, CASE n % 4 WHEN 0 THEN 'NOT_PROVIDED' WHEN 1 THEN 'NEEDS_REVIEW' ELSE 'KNOWN' END AS status, CASE n % 3 WHEN 0 THEN 0.4 ELSE 0.95 END AS confidence FROM k),
+g AS (SELECT page, key, string_agg(issue, ';' ORDER BY ord, issue) AS issues, min(cap) AS cap FROM f GROUP BY ALL)
+SELECT page, key, CASE WHEN status = 'NOT_PROVIDED' THEN status ELSE 'NEEDS_REVIEW' END AS status, CASE WHEN status = 'NOT_PROVIDED' THEN confidence ELSE least(confidence, cap) END::DOUBLE AS confidence, CASE WHEN status = 'NOT_PROVIDED' THEN 'read' ELSE 'read;' || issues END AS issues FROM s JOIN g USING (page, key)""")
+def rules_applied(spark, sf_dir):
+    """All ten rules folded back onto the fields that they concern."""
+    from pyspark.sql import Window
+
+    from casebook.plans.rules_union import apply_flags
+
+    flags = _all_flags(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("page").orderBy("key"))
+    fields = flags.select("page", "key").distinct().withColumn("n", n).select("page", "key", F.when(F.col("n") % 4 == 0, "NOT_PROVIDED").when(F.col("n") % 4 == 1, "NEEDS_REVIEW").otherwise("KNOWN").alias("status"), F.when(F.col("n") % 3 == 0, 0.4).otherwise(0.95).alias("confidence"), F.array(F.lit("read")).alias("issues"))
+    return apply_flags(fields, flags).select("page", "key", "status", "confidence", F.array_join("issues", ";").alias("issues"))
 
 
 # ---- layout joins
@@ -377,7 +485,7 @@ SELECT point, arg_min(region, region) AS region FROM pt JOIN r ON x BETWEEN x0 A
 def point_in_region(spark, sf_dir):
     n = F.col("n_nationkey")
     regions = table(spark, sf_dir, "nation").select(n.alias("region"), (n * 60.0).alias("x0"), (n * 60.0 + 400).alias("x1"), n.alias("y0"), (n + 25).alias("y1"), n.alias("ord"))
-    return geometry.point_in_region(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point"), F.col("p_retailprice").alias("x"), F.col("p_size").alias("y")), F.broadcast(regions))
+    return geometry.point_in_region(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("point"), F.col("p_retailprice").alias("x"), F.col("p_size").alias("y")), regions)
 
 
 @query("nearest_box", """WITH l AS (SELECT s_suppkey AS label, s_acctbal AS lx1, s_suppkey % 50 AS ly FROM supplier), b AS (SELECT n_nationkey AS box, n_nationkey * 400.0 AS bx, n_nationkey * 2 AS by_ FROM nation)
@@ -385,15 +493,13 @@ SELECT label, box, gap FROM (SELECT label, box, bx - lx1 AS gap, row_number() OV
 def nearest_box(spark, sf_dir):
     labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label"), F.col("s_acctbal").alias("lx1"), (F.col("s_suppkey") % 50).alias("ly"))
     boxes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("box"), (F.col("n_nationkey") * 400.0).alias("bx"), (F.col("n_nationkey") * 2).alias("by"))
-    return geometry.nearest_on_line(labels, F.broadcast(boxes))
+    return geometry.nearest_on_line(labels, boxes)
 
 
 @query("next_label_stop", "SELECT l_orderkey AS line, l_linenumber AS mark, l_quantity AS x, lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, l_partkey) AS stop, l_partkey AS part FROM lineitem")
 def next_label_stop(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("mark"), F.col("l_quantity").alias("x"), F.col("l_partkey").alias("part"))
-    return rows.withColumn("stop", F.lead("x").over(Window.partitionBy("line").orderBy("x", "mark", "part")))
+    return geometry.next_stop(rows.withColumn("mark", F.struct("mark", "part"))).withColumn("mark", F.col("mark.mark"))
 
 
 @query("run_groups", "SELECT line, run, g FROM (SELECT user_id AS line, event_id AS run, sum(far) OVER (PARTITION BY user_id ORDER BY value, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS g FROM (SELECT *, CASE WHEN value - lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) > 5 OR lag(value) OVER (PARTITION BY user_id ORDER BY value, event_id) IS NULL THEN 1 ELSE 0 END AS far FROM events))")
@@ -415,26 +521,27 @@ def median_height(spark, sf_dir):
 
 # ---- evaluation
 
-_EVAL = """SELECT l_linestatus AS kind, l_returnflag AS page_type, CASE WHEN l_tax < 0.06 THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS gt_status,
- CASE WHEN l_discount < 0.03 THEN 'NEEDS_REVIEW' WHEN l_tax < 0.07 THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status, l_quantity > 5 AS value_ok, l_discount * 10 AS conf, l_orderkey, l_linenumber FROM lineitem"""
+_EVAL = """SELECT (['text', 'cell', 'check', 'radio'])[1 + l_suppkey % 4] AS kind, l_returnflag AS page_type, CASE WHEN l_tax < 0.06 THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS gt_status,
+ CASE WHEN l_discount < 0.03 THEN 'NEEDS_REVIEW' WHEN l_discount > 0.08 THEN 'ILLEGIBLE' WHEN l_tax < 0.07 THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status, l_quantity > 5 AS value_ok, l_discount * 10 AS conf, l_orderkey, l_linenumber FROM lineitem"""
+_PRED = "CASE WHEN l_discount < 0.03D THEN 'NEEDS_REVIEW' WHEN l_discount > 0.08D THEN 'ILLEGIBLE' WHEN l_tax < 0.07D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status"
 
 
 def _eval(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_linestatus AS kind", "l_returnflag AS page_type", "CASE WHEN l_tax < 0.06D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS gt_status", "CASE WHEN l_discount < 0.03D THEN 'NEEDS_REVIEW' WHEN l_tax < 0.07D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status", "l_quantity > 5 AS value_ok", "l_discount * 10 AS conf")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("element_at(array('text', 'cell', 'check', 'radio'), int(1 + l_suppkey % 4)) AS kind", "l_returnflag AS page_type", "CASE WHEN l_tax < 0.06D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS gt_status", _PRED, "l_quantity > 5 AS value_ok", "l_discount * 10 AS conf")
     return rows.withColumn("status_ok", F.col("gt_status") == F.col("pred_status"))
 
 
 @query("eval_metrics_grouping_sets", f"""WITH e AS (SELECT *, gt_status = pred_status AS status_ok FROM ({_EVAL}))
 SELECT kind, page_type, GROUPING(kind, page_type)::BIGINT AS level, count(*)::BIGINT AS fields, round(count(*) FILTER (WHERE value_ok AND status_ok) / count(*), 4) AS field_accuracy,
  round(count(*) FILTER (WHERE value_ok AND gt_status = 'KNOWN') / nullif(count(*) FILTER (WHERE gt_status = 'KNOWN'), 0), 4) AS value_accuracy, round(count(*) FILTER (WHERE status_ok) / count(*), 4) AS status_accuracy,
- round(count(*) FILTER (WHERE pred_status = 'NEEDS_REVIEW' AND gt_status = 'KNOWN') / nullif(count(*) FILTER (WHERE gt_status = 'KNOWN'), 0), 4) AS review_rate,
+ round(count(*) FILTER (WHERE pred_status IN ('NEEDS_REVIEW', 'ILLEGIBLE') AND gt_status = 'KNOWN') / nullif(count(*) FILTER (WHERE gt_status = 'KNOWN'), 0), 4) AS review_rate,
  round(count(*) FILTER (WHERE pred_status = 'KNOWN' AND NOT (value_ok AND status_ok)) / nullif(count(*) FILTER (WHERE pred_status = 'KNOWN'), 0), 4) AS silent_rate,
  (count(*) FILTER (WHERE pred_status = 'KNOWN' AND NOT (value_ok AND status_ok)))::BIGINT AS silent FROM e GROUP BY GROUPING SETS ((), (kind), (page_type))""")
 def eval_metrics(spark, sf_dir):
     return evaluate.metrics(_eval(spark, sf_dir))
 
 
-@query("calibration", f"SELECT least(9, floor(conf * 10))::INT AS bin, count(*)::BIGINT AS n, round(avg(value_ok::INT), 3) AS accuracy FROM ({_EVAL}) WHERE gt_status = 'KNOWN' GROUP BY 1")
+@query("calibration", f"SELECT least(9, floor(conf * 10))::INT AS bin, count(*)::BIGINT AS n, round(avg(value_ok::INT), 3) AS accuracy FROM ({_EVAL}) WHERE gt_status = 'KNOWN' AND kind IN ('text', 'cell') GROUP BY 1")
 def calibration(spark, sf_dir):
     return evaluate.calibration(_eval(spark, sf_dir))
 
@@ -469,15 +576,57 @@ def alt_key_match(spark, sf_dir):
 
 # ---- decoding
 
-@query("candidate_grid_bp", "SELECT s || '/' || d AS text, s AS systolic, d AS diastolic FROM generate_series(80, 200, 5) a(s), generate_series(40, 120, 5) b(d) WHERE s > d")
+_BP_PRIORS = {"blood_pressure": [(11.5, 1.2), (7.25, 0.9)]}
+_BP_LAW = "-0.5 * power((s - 11.5) / (1.5::DOUBLE * 1.2), 2) + -0.5 * power((d - 7.25) / (1.5::DOUBLE * 0.9), 2)"
+
+
+@query("candidate_grid_bp", f"""WITH c AS (SELECT s::DOUBLE AS s, d::DOUBLE AS d, s || '/' || d AS text, s || '/' || d AS value FROM range(7, 23) a(s), range(4, 14) b(d) WHERE d < s
+ UNION ALL SELECT s, d, s * 10 || '/' || d * 10, s || '/' || d FROM range(7, 23) a(s), range(4, 14) b(d) WHERE d < s
+ UNION ALL SELECT s / 10, d / 10, s || '/' || d, printf('%g', s / 10) || '/' || printf('%g', d / 10) FROM range(80, 200) a(s), range(40, 130) b(d) WHERE d + 10 <= s AND (s % 10 <> 0 OR d % 10 <> 0))
+SELECT text, min(value) AS value, round({_BP_LAW}, 6) AS prior FROM c GROUP BY text, s, d""")
 def candidate_grid_bp(spark, sf_dir):
-    return decode.pressure_grid(spark)
+    return decode.candidates(spark, "blood_pressure", "bp", priors=_BP_PRIORS).withColumn("prior", F.round("prior", 6))
 
 
 @query("candidate_dates", """WITH d AS (SELECT unnest(generate_series(DATE '2020-01-01', DATE '2025-12-31', INTERVAL 1 DAY))::DATE AS d)
-SELECT DISTINCT unnest([strftime(d, '%-d/%-m/%y'), strftime(d, '%d/%m/%y'), strftime(d, '%-d/%-m/%Y'), strftime(d, '%d/%m/%Y'), strftime(d, '%d/%-m/%y'), strftime(d, '%-d/%m/%y')]) AS text, strftime(d, '%Y-%m-%d') AS iso FROM d""")
+SELECT DISTINCT unnest([strftime(d, '%-d/%-m/%y'), strftime(d, '%d/%m/%y'), strftime(d, '%-d/%-m/%Y'), strftime(d, '%d/%m/%Y'), strftime(d, '%d/%-m/%y'), strftime(d, '%-d/%m/%y')]) AS text, strftime(d, '%Y-%m-%d') AS value,
+ CASE WHEN date_diff('day', d, DATE '2024-06-01') BETWEEN 0 AND 730 THEN 0.0::DOUBLE ELSE -3.0::DOUBLE END AS prior FROM d""")
 def candidate_dates(spark, sf_dir):
-    return decode.date_candidates(spark, "2024-06-01")
+    return decode.candidates(spark, "lmp_date", "date", as_of="2024-06-01")
+
+
+@query("candidate_weeks", """WITH w AS (SELECT w, -0.5 * power((w - 30) / (1.5::DOUBLE * 6), 2) AS p FROM range(20, 46) a(w))
+SELECT w || 'SA' AS text, w::VARCHAR AS value, round(p, 6) + 0 AS prior FROM w UNION ALL SELECT w::VARCHAR, w::VARCHAR, round(p - 1, 6) FROM w
+UNION ALL SELECT unnest([w || 'SA+' || d || 'j', w || 'SA+' || d, w || 'SA' || d || 'j']), w || '+' || d, round(p, 6) + 0 FROM w, range(0, 7) b(d)""")
+def candidate_weeks(spark, sf_dir):
+    return decode.candidates(spark, "gestational_age_weeks", "weeks", 20, 45, priors={"gestational_age_weeks": [(30, 6)]}).withColumn("prior", F.round("prior", 6) + 0.0)
+
+
+@query("candidate_numbers", """WITH n AS (SELECT n FROM range(30, 161) a(n)), k AS (SELECT n || u AS text, n::VARCHAR AS value FROM n, (VALUES (''), ('kg')) b(u) UNION ALL SELECT n || s || t, n || '.' || t FROM n, range(0, 10) b(t), (VALUES (','), ('.')) c(s) UNION ALL SELECT 'NF', 'NF'),
+g AS (SELECT a + b / 100 AS v, a, b FROM range(0, 5) x(a), range(0, 100) y(b)), f AS (SELECT a || s || lpad(b::VARCHAR, 2, '0') AS text, printf('%g', v) AS value, 0.0 AS prior FROM g, (VALUES (','), ('.')) c(s) WHERE v BETWEEN 0.4 AND 4 UNION ALL SELECT a || s || b // 10, printf('%g', v), 0.0 FROM g, (VALUES (','), ('.')) c(s) WHERE v BETWEEN 0.4 AND 4 AND b % 10 = 0 UNION ALL SELECT a::VARCHAR, a::VARCHAR, -0.5 FROM range(0, 5) x(a)),
+h AS (SELECT n || u AS text, n || '000' AS value FROM range(80, 600) a(n), (VALUES ('000'), ('000/mm3'), ('k')) b(u))
+SELECT 'kg' AS kind, text, value, 0.0::DOUBLE AS prior FROM k UNION ALL SELECT 'float', text, value, prior::DOUBLE FROM f UNION ALL SELECT 'platelets', text, value, 0.0::DOUBLE FROM h
+UNION ALL SELECT 'age', n || u, n::VARCHAR, 0.0::DOUBLE FROM range(12, 56) a(n), (VALUES (''), ('ans'), ('jours'), ('j')) b(u)""")
+def candidate_numbers(spark, sf_dir):
+    kinds = [("kg", "weight_kg", "kg", 30, 160), ("float", "glycemia_g_l", "float", 0.4, 4), ("platelets", "platelets", "str", None, None), ("age", "age", "int", 12, 55)]
+    parts = [decode.candidates(spark, column, dtype, lo, hi).withColumn("kind", F.lit(kind)) for kind, column, dtype, lo, hi in kinds]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("kind", "text", "value", "prior")
+
+
+_HELD = {"RAS": 4, "Pâle": 2}
+
+
+@query("candidate_words", f"""WITH v AS (SELECT DISTINCT w FROM (VALUES {_values((w,) for w in dict.fromkeys([*decode.VOCABULARIES['clinical'], *decode.EXTRA_WORDS, *_HELD]))}) v(w)), t AS (SELECT 6 + count(*) AS t FROM v), c(w, n) AS (VALUES ('RAS', 4), ('Pâle', 2))
+SELECT v.w AS text, v.w AS value, round(ln((coalesce(n, 0) + 1) / t), 6) AS prior FROM v LEFT JOIN c USING (w), t""")
+def candidate_words(spark, sf_dir):
+    return decode.candidates(spark, "conjunctivae", "str", counts=_HELD).withColumn("prior", F.round("prior", 6))
+
+
+@query("plausible_readings", f"""WITH g AS (SELECT DISTINCT s || '/' || d AS t FROM range(7, 23) a(s), range(4, 14) b(d) WHERE d < s UNION SELECT s * 10 || '/' || d * 10 FROM range(7, 23) a(s), range(4, 14) b(d) WHERE d < s UNION SELECT s || '/' || d FROM range(80, 200) a(s), range(40, 130) b(d) WHERE d + 10 <= s AND (s % 10 <> 0 OR d % 10 <> 0))
+SELECT id, replace({FOLD}, ' ', '') IN (SELECT t FROM g) AS plausible FROM {READING_VALUES}""".replace("IN (SELECT t FROM g) AS", "IN (SELECT t FROM g) AND x IS NOT NULL AS"))
+def plausible_readings(spark, sf_dir):
+    rows = decode.plausible(_readings(spark).withColumnRenamed("x", "text"), decode.candidates(spark, "blood_pressure", "bp"))
+    return rows.select("id", F.when(F.col("text").isNotNull(), F.col("plausible")).otherwise(F.col("text").isNotNull()).alias("plausible"))
 
 
 @query("posterior_topk", """WITH t AS (SELECT l_orderkey AS crop, l_linenumber || '-' || l_partkey AS text, -l_quantity / 10 - 0.5 * l_tax AS total FROM lineitem),
@@ -492,7 +641,18 @@ def posterior_topk(spark, sf_dir):
 def ctc_score(spark, sf_dir):
     crops = spark.createDataFrame([(1, [[0.1, 0.8, 0.1], [0.6, 0.2, 0.2], [0.1, 0.1, 0.8]]), (2, [[0.5, 0.25, 0.25]] * 4)], "crop bigint, probs array<array<double>>")
     wanted = spark.createDataFrame([(c, t) for c in (1, 2) for t in ("a", "b", "ab", "aa", "ba", "")], "crop bigint, text string")
-    return decode.ctc_score(crops, wanted, "ab").select("crop", "text", F.round("score", 9).alias("score"))
+    return decode.ctc_score(crops, wanted, ["", "a", "b"]).select("crop", "text", F.round("score", 9).alias("score"), F.round("free", 9).alias("free"))
+
+
+@query("span_words")
+def span_words(spark, sf_dir):
+    """The word across a section, from its crop's probabilities: no priors, a few words, both recognisers."""
+    charset = ["", *"RASNéantorml .ugifcéen"]
+    crops = spark.createDataFrame([(1, [[0.02] + [0.9 if c == ch else 0.003 for c in charset[1:]] for ch in "RAS"] * 1)], "crop bigint, probs array<array<double>>")
+    words = spark.createDataFrame([(1, w) for w in decode.SPAN_WORDS], "crop bigint, text string")
+    scored = decode.ctc_score(crops, words, charset)
+    best = decode.posterior(decode.with_small(scored, scored).withColumn("prior", F.lit(0.0)))
+    return best.select("crop", "text", "rank", F.round("posterior", 6).alias("posterior"), F.round(decode.confidence(F.col("posterior"), F.col("fit")), 6).alias("confidence"))
 
 
 @query("pii_ui_shape", "SELECT c_custkey AS page, 'segment' AS key, 'segment' AS label, coalesce(nullif(c_mktsegment, 'BUILDING'), '—') AS value, round(abs(c_acctbal) / 10000, 2) AS conf, 'KNOWN' AS status FROM customer")
@@ -524,30 +684,6 @@ def gap_matches(spark, sf_dir):
     return rows.select("id", X.gap_matches(F.col("truth"), F.col("got")).alias("hit"))
 
 
-ANSWERS = [
-    (kind, dtype, x)
-    for kind, dtype, texts in [
-        ("check", None, ["Oui", " x ", "☐", "non", "peut-être", "?", "", None]), ("radio", None, ["csc", "DR", "autre", "NSP", None]),
-        ("text", "int", ["12", "l2", "1.2 cm", "abc", "-", "inconnu", "NF", "", None]), ("text", "str", ["  deux  mots ", "—", "non fait", "?", "", None]), (None, None, ["rien", "?", None]),
-    ]
-    for x in texts
-]
-CHOICES = ["DR", "CSC", "CSU"]
-
-
-@query("typed_answer", f"""WITH v AS (SELECT * FROM (VALUES {_values((i, *r) for i, r in enumerate(ANSWERS))}) v(id, kind, dtype, x)), w AS (SELECT *, lower(trim(x)) AS low, trim({FOLD}, ' .') AS word, {SQUEEZE} AS s FROM v),
-m AS (SELECT *, CASE WHEN x IS NULL OR s = '' THEN NULL WHEN regexp_matches(s, '^[\\s\\-–—_~.]+$') THEN 'dash' WHEN word IN {LIST(X.UNKNOWN)} THEN 'unknown' WHEN word IN {LIST(X.NOT_DONE)} THEN 'not_done' END AS mark,
-  CASE WHEN dtype = 'int' THEN (floor({STRICT})::BIGINT)::VARCHAR WHEN dtype = 'str' THEN s END AS parsed FROM w),
-a AS (SELECT id, CASE WHEN low IN {LIST(X.UNKNOWN)} THEN 1 WHEN kind IS NULL THEN 2 WHEN kind = 'check' THEN CASE WHEN low IN {LIST(X.TYPED_YES)} THEN 3 WHEN low IN {LIST(X.TYPED_NO)} THEN 4 ELSE 0 END
-  WHEN kind = 'radio' THEN CASE WHEN upper(low) IN {LIST(CHOICES)} THEN 5 ELSE 0 END WHEN mark = 'unknown' THEN 1 WHEN mark = 'dash' THEN 6 WHEN mark = 'not_done' THEN 7
-  WHEN parsed IS NOT NULL AND s <> '' THEN 8 WHEN dtype IN ('str', 'code') THEN 2 ELSE 0 END AS c, x, low, parsed FROM m)
-SELECT id, CASE c WHEN 1 THEN 'UNKNOWN' WHEN 6 THEN 'NOT_APPLICABLE' WHEN 0 THEN NULL ELSE 'KNOWN' END AS status, CASE c WHEN 2 THEN x WHEN 3 THEN 'true' WHEN 4 THEN 'false' WHEN 5 THEN upper(low) WHEN 8 THEN parsed END AS value FROM a""")
-def typed_answer(spark, sf_dir):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(ANSWERS)], "id bigint, kind string, dtype string, x string")
-    answer = X.typed_answer(F.col("x"), F.col("kind"), F.col("dtype"), F.array(*map(F.lit, CHOICES)))
-    return rows.select("id", answer.alias("a")).select("id", "a.status", "a.value")
-
-
 TIMES = ["2024-05-01T10:00:00Z", "2024-05-01T10:00:00+02:00", "2024-05-01T10:00:00", "2024-05-01", "2035-01-01T00:00:00Z", "no time", "", None]
 NOW = "2025-01-01T00:00:00Z"
 
@@ -584,7 +720,7 @@ def record_number(spark, sf_dir):
     return records.record_number(_shown(spark, sf_dir).withColumnRenamed("display", "value").withColumn("key", F.lit("record_number")))
 
 
-@query("linking_always_review", f"SELECT page, 'code' AS key, 'confirm the linking field' AS issue, 0.79::DOUBLE AS cap, 1 AS ord FROM ({_SHOWN})")
+@query("linking_always_review", f"SELECT page, 'code' AS key, 'patient code: confirm before linking the visit' AS issue, 0.79::DOUBLE AS cap, 1 AS ord FROM ({_SHOWN})")
 def linking_always_review(spark, sf_dir):
     return rules.linking(_shown(spark, sf_dir).select("page", F.explode(F.array(F.struct(F.lit("code").alias("key"), F.lit(True).alias("linking")), F.struct(F.lit("name").alias("key"), F.lit(False).alias("linking")))).alias("f")).select("page", "f.*"))
 
@@ -629,11 +765,11 @@ def marked_boxes(spark, sf_dir):
 
 
 @query("nearest_repeat", """WITH d AS (SELECT s_suppkey AS place, c_custkey AS spot, c_acctbal - (s_acctbal * 1.01::DOUBLE + s_suppkey * 0::DOUBLE + 2) AS du, c_custkey % 100 - (s_acctbal * 0::DOUBLE + s_suppkey * 1::DOUBLE + 1) AS dv
-  FROM supplier JOIN customer ON c_nationkey = s_nationkey)
+  FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 50 = s_suppkey % 50)
 SELECT place, spot FROM (SELECT *, row_number() OVER (PARTITION BY place ORDER BY du * du + dv * dv, spot) AS n FROM d) WHERE n = 1""")
 def nearest_repeat(spark, sf_dir):
-    template = table(spark, sf_dir, "supplier").select(F.lit(1).alias("page"), F.col("s_nationkey").alias("label"), F.col("s_suppkey").alias("place"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("y"))
-    found = table(spark, sf_dir, "customer").select(F.lit(1).alias("page"), F.col("c_nationkey").alias("label"), F.col("c_custkey").alias("spot"), F.col("c_acctbal").alias("px"), (F.col("c_custkey") % 100).alias("py"))
+    template = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), (F.col("s_suppkey") % 50).alias("label"), F.col("s_suppkey").alias("place"), F.col("s_acctbal").alias("x"), F.col("s_suppkey").alias("y"))
+    found = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), (F.col("c_custkey") % 50).alias("label"), F.col("c_custkey").alias("spot"), F.col("c_acctbal").alias("px"), (F.col("c_custkey") % 100).alias("py"))
     return geometry.nearest_repeat(template, found, (1.01, 0.0, 2.0, 0.0, 1.0, 1.0))
 
 
@@ -713,10 +849,13 @@ def choice_truth(spark, sf_dir):
 
 @query("photo_totals", f"SELECT l_orderkey % 50 AS photo, count(*)::BIGINT AS fields, count_if(value_ok)::BIGINT AS correct, count_if(pred_status = 'KNOWN' AND NOT value_ok)::BIGINT AS silent, count_if(pred_status IN ('NEEDS_REVIEW', 'ILLEGIBLE'))::BIGINT AS review FROM ({_EVAL}) GROUP BY 1")
 def photo_totals(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 50 AS photo", "CASE WHEN l_discount < 0.03D THEN 'NEEDS_REVIEW' WHEN l_tax < 0.07D THEN 'KNOWN' ELSE 'NOT_PROVIDED' END AS pred_status", "l_quantity > 5 AS value_ok")
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 50 AS photo", _PRED, "l_quantity > 5 AS value_ok")
     return evaluate.photo_totals(rows)
 
 
 @query("page_accuracy", "SELECT count(*)::BIGINT AS pages, round(avg((o_orderstatus = 'F')::INT), 4) AS accuracy, round(avg(o_totalprice), 2) AS seconds FROM orders")
 def page_accuracy(spark, sf_dir):
     return evaluate.page_accuracy(table(spark, sf_dir, "orders").select(F.lit("F").alias("expected"), F.col("o_orderstatus").alias("got"), F.col("o_totalprice").alias("seconds")))
+
+
+from casebook import form_queries  # noqa: E402, F401  (registers its queries)

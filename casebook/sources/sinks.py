@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def append_new(batch: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key the table does not hold; for foreachBatch, where a batch may come twice."""
+    """Append rows whose key the table does not hold; for foreachBatch, where a batch may come twice. The table is asked
+    for, not its absence caught."""
     spark = batch.sparkSession
     rows = batch.dropDuplicates([key])
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:  # the table does not exist before its first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = None
-    (rows if have is None else rows.join(have.select(key), key, "left_anti")).write.mode("append").parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
+    new = rows.join(spark.read.parquet(path).select(key), key, "left_anti") if there else rows
+    new.write.mode("append").parquet(path)
 
 
 def documents_json(pages: DataFrame, path: str) -> None:

@@ -1,8 +1,9 @@
-"""The record lifecycle as a stream: keyed state decides each move and emits history rows.
+"""The record lifecycle as a stream: keyed state decides each event and emits its outcome.
 
-State per record is its current state and its attempts; rows of one micro-batch are taken in event-time order. Nothing
-is dropped for lateness: a late move is judged against the state it meets, and an illegal one is emitted as refused.
-State grows with the number of records and is kept by the state store.
+State per record is its state, attempts, last error and the number of its events; rows of one micro-batch are taken in
+event-time order, then by seq, which is unique. Nothing is dropped for lateness: a late event is judged against the state
+it meets, and one that is not accepted is emitted as refused. State grows with the number of records and is kept by the
+state store. On a log that arrives in order the outcomes are those of ``operators.control.fold``.
 """
 
 from __future__ import annotations
@@ -12,63 +13,58 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from casebook.operators.lifecycle import EDGES, MAX_ATTEMPTS
+from casebook.operators.control import step
 
-HISTORY = "record string, at timestamp, old_state string, new_state string, attempts int, accepted boolean"
-
-
-def step(state: str | None, attempts: int, wanted: str) -> tuple[str | None, int, bool]:
-    """The state after a wanted move, the attempts, and whether the move was legal. A failed attempt counts; the third
-    fails the record; asking for another run resets the count."""
-    if state is None:
-        return ("CAPTURED", 0, True) if wanted == "CAPTURED" else (None, 0, False)
-    if wanted == "ATTEMPT_FAILED":
-        if state != "PENDING_AI":
-            return state, attempts, False
-        attempts += 1
-        return ("PROCESSING_FAILED" if attempts >= MAX_ATTEMPTS else state), attempts, True
-    if wanted not in EDGES.get(state, []):
-        return state, attempts, False
-    return wanted, (0 if wanted == "PENDING_AI" and state != "CAPTURED" else attempts), True
+OUTCOMES = "record string, seq bigint, event string, old_state string, state string, attempts int, error string, accepted boolean"
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
-    """History rows of a stream (record string, at timestamp, wanted string)."""
+    """OUTCOMES of a stream (record string, at timestamp, seq bigint, event string)."""
 
     def run(key, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
-        state, attempts = store.get if store.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values("at", kind="stable")
+        state, attempts, error = store.get if store.exists else (None, 0, None)
+        rows = pd.concat(list(batches)).sort_values(["at", "seq"], kind="stable")
         out = []
-        for at, wanted in zip(rows["at"], rows["wanted"]):
+        for seq, event in zip(rows["seq"], rows["event"]):
             before = state
-            state, attempts, ok = step(state, attempts, wanted)
-            out.append((key[0], at, before, state if ok else wanted, attempts, ok))
-        store.update((state, attempts))
-        yield pd.DataFrame(out, columns=["record", "at", "old_state", "new_state", "attempts", "accepted"])
+            state, attempts, error, accepted, _ = step(state, attempts, error, event)
+            out.append((key[0], seq, event, before, state, attempts, error, accepted))
+        store.update((state, attempts, error))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOMES.split(", ")])
 
-    return events.groupBy("record").applyInPandasWithState(run, HISTORY, "state string, attempts int", "append", "NoTimeout")
+    return events.groupBy("record").applyInPandasWithState(run, OUTCOMES, "state string, attempts int, error string", "append", "NoTimeout")
 
 
 def first_seen(captures: DataFrame) -> DataFrame:
-    """(sha256, record, state) of a stream of captures: the first of a content waits, later ones are suspected."""
+    """(sha256, record, state) of a stream of captures (record, at, content): the first of a content waits, later ones are
+    suspected. Of one micro-batch the earliest capture is first, then the least record."""
 
     def run(key, batches, store):
-        seen = store.exists
-        for pdf in batches:
-            state = ["SUSPECTED_DUPLICATE" if seen or i else "PENDING_AI" for i in range(len(pdf))]
-            seen = True
-            yield pd.DataFrame({"sha256": key[0], "record": pdf["record"], "state": state})
+        rows = pd.concat(list(batches)).sort_values(["at", "record"], kind="stable")
+        state = ["SUSPECTED_DUPLICATE" if store.exists or i else "PENDING_AI" for i in range(len(rows))]
         store.update((True,))
+        yield pd.DataFrame({"sha256": key[0], "record": rows["record"], "state": state})
 
-    hashed = captures.withColumn("sha256", F.sha2(F.col("content").cast("binary"), 256))
+    hashed = captures.withColumn("sha256", F.sha2(F.coalesce(F.col("content"), F.lit("")).cast("binary"), 256)).select("sha256", "record", "at")
     return hashed.groupBy("sha256").applyInPandasWithState(run, "sha256 string, record string, state string", "seen boolean", "append", "NoTimeout")
 
 
 def sync(batch: DataFrame, send) -> DataFrame:
-    """Saved records of a micro-batch with what became of them: ``send`` takes a pandas frame and returns flags."""
+    """Saved records of a micro-batch with the event that came of them: ``send`` takes a pandas frame and returns, for each
+    row, true (the server accepted), false (it refused) or None (it was not reached). Sending comes before the event, so a
+    repeated task sends again: the server tells records apart by id."""
+
     def run(frames):
         for pdf in frames:
-            ok = send(pdf)
-            yield pd.DataFrame({"record": pdf["record"], "state": ["SYNCED" if x else "SYNC_FAILED" for x in ok]})
+            events = ["sync_waiting" if x is None else "synced" if x else "sync_failed" for x in send(pdf)]
+            yield pd.DataFrame({"record": pdf["record"], "event": events})
+
+    return batch.mapInPandas(run, "record string, event string")
+
 
-    return batch.mapInPandas(run, "record string, state string")
+def to_table(stream: DataFrame, path: str, checkpoint: str):
+    """Run a stream to the end of what there is, appending to a Parquet table; files of a batch are committed once."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).outputMode("append").start()
+    query.awaitTermination()
+    return query

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from casebook.functions import text as X
 from casebook.functions.unfold import fold_text
-from casebook.operators import decide, decode, geometry, lifecycle, match, records
+from casebook.operators import answers, control, decode, geometry, lifecycle, match, records
 from casebook.plans.fuzzy_join import fuzzy_join
 from casebook.plans.rules_union import apply_flags
-from casebook.streaming.lifecycle_stream import step
 
 
 def one(spark, expr, value):
@@ -23,7 +22,7 @@ def test_dates(spark, raw, iso):
     assert one(spark, X.iso_date, raw) == iso
 
 
-@pytest.mark.parametrize("raw,want", [("12/8", (120, 80, None)), ("12080", (120, 80, None)), ("80/120", (80, 120, "implausible blood pressure")), ("x", (None, None, "expected systolic/diastolic"))])
+@pytest.mark.parametrize("raw,want", [("12/8", (120, 80, None)), ("12080", (120, 80, None)), ("80/120", (80, 120, "implausible blood pressure")), ("x", (None, None, "could not read as systolic/diastolic"))])
 def test_pressure(spark, raw, want):
     assert tuple(one(spark, X.blood_pressure, raw)) == want
 
@@ -78,12 +77,35 @@ def test_illegal_move_raises_and_all_paths_are_edges():
     assert sum(map(len, lifecycle.EDGES.values())) == 20
 
 
-def test_third_failure_fails_and_rerun_resets():
-    state, attempts = "PENDING_AI", 0
-    for want in ("PENDING_AI", "PENDING_AI", "PROCESSING_FAILED"):
-        state, attempts, ok = step(state, attempts, "ATTEMPT_FAILED")
-        assert ok and state == want
-    assert step(state, attempts, "PENDING_AI") == ("PENDING_AI", 0, True)
+def run(*events):
+    state, attempts, error, trail = None, 0, None, []
+    for e in events:
+        state, attempts, error, ok, moves = control.step(state, attempts, error, e)
+        trail.append((ok, *moves))
+    return state, attempts, error, trail
+
+
+def test_third_failure_fails_and_a_retry_resets():
+    state, attempts, error, _ = run("captured", "failed", "failed")
+    assert (state, attempts, error) == ("PENDING_AI", 2, None)
+    assert run("captured", *["failed"] * 3)[:3] == ("PROCESSING_FAILED", 3, "failed")
+    assert run("captured", *["failed"] * 3, "retried")[:3] == ("PENDING_AI", 0, None)
+    assert run("captured", "failed", "waiting", "waiting", "processed")[:2] == ("TO_REVIEW", 1)
+
+
+def test_guards_of_review_linking_and_sync():
+    assert run("captured", "validated")[0] == "PENDING_AI" and run("linked")[0] is None
+    assert run("captured", "unreadable")[:3] == ("PROCESSING_FAILED", 0, "unreadable")
+    assert run("captured", "processed_unknown", "answered")[0] == "TO_REVIEW"
+    done = run("captured", "processed", "validated", "linked", "sync_waiting", "sync_failed", "sync_again", "synced", "retried")
+    assert done[0] == "SYNCED" and done[2] is None and done[3][-1] == (False,)
+
+
+def test_every_move_is_an_edge():
+    for (_, state), (nexts, *_) in control.MOVES.items():
+        for before, after in zip([state, *nexts], nexts):
+            assert before == "" and after == "CAPTURED" or after in lifecycle.EDGES[before], (before, after)
+    assert control.GAVE_UP in lifecycle.EDGES["PENDING_AI"]
 
 
 def test_flags_never_raise_confidence(spark):
@@ -94,12 +116,20 @@ def test_flags_never_raise_confidence(spark):
 
 
 def test_answers_are_all_or_nothing(spark):
-    fields = spark.createDataFrame([(1, "a", "3", "NEEDS_REVIEW", 0.4, ["confirm it", "other"])], "page int, key string, value string, status string, confidence double, issues array<string>")
+    fields = spark.createDataFrame(
+        [(p, k, "text", "int", 0.0, 9.0, [], "3", "3", "3", "NEEDS_REVIEW", 0.4, ["confirm it", "other"]) for p in (1, 2) for k in "ab"],
+        "page int, key string, kind string, dtype string, lo double, hi double, options array<string>, value string, display string, raw string, status string, confidence double, issues array<string>",
+    )
     schema = "page int, key string, confirm boolean, text string, new_status string"
-    got = decide.apply_answer(fields, spark.createDataFrame([(1, "a", True, None, None)], schema)).first()
-    assert (got.value, got.status, got.confidence, got.issues, got.corrected) == ("3", "KNOWN", 1.0, ["other"], True)
+    asked = spark.createDataFrame([(1, "a", True, None, None), (1, "b", None, " l2 ", None), (2, "a", None, None, "UNKNOWN"), (2, "b", None, "abc", None)], schema)
+    after, refused = answers.apply_answers(fields, asked)
+    got = {(r.page, r.key): (r.value, r.raw, r.status, r.confidence, r.issues, r.corrected) for r in after.collect()}
+    assert got[1, "a"] == ("3", "3", "KNOWN", 1.0, ["other", "confirmed by midwife"], True)
+    assert got[1, "b"] == ("12", "l2", "KNOWN", 1.0, ["entered by midwife", "out of plausible range (0–9)"], True)
+    assert got[2, "a"] == got[2, "b"] == ("3", "3", "NEEDS_REVIEW", 0.4, ["confirm it", "other"], False)
+    assert [(r.page, r.key, r.reason) for r in refused.collect()] == [(2, "b", "could not read a number (int)")]
     with pytest.raises(ValueError):
-        decide.apply_answer(fields, spark.createDataFrame([(1, "zz", True, None, None)], schema))
+        answers.apply_batch(fields, spark.createDataFrame([(1, "zz", True, None, None)], schema))
 
 
 def test_merge_and_affine(spark):
@@ -107,3 +137,82 @@ def test_merge_and_affine(spark):
     assert df.select(records.merge_maps("o", "n").alias("m")).first().m == {"a": 1, "b": 3, "c": 4}
     m = geometry.affine_fit(np.array([[0, 0], [1, 0], [0, 1], [1, 1.0]]), np.array([[1, 2], [3, 2], [1, 5], [3, 5.0]]))
     assert np.allclose(m, [[2, 0, 1], [0, 3, 2]])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab ", max_size=8), st.text("ab ", max_size=8))
+def test_indel_ratio_against_the_table(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    assert match.common_length(a, b) == row[-1]
+
+
+def test_labels_continue_on_their_line():
+    assert match.line_similarity("age :", "age : 31 ans") == 98.0 and match.line_similarity("age", "age") == 100.0
+    assert match.partial_ratio("rhesus", "groupage b rhesus (-)") == 100.0
+
+
+def test_random_codes_against_all_pairs(spark):
+    g = np.random.default_rng(7)
+    codes = sorted({"".join(g.choice(list("ab1"), g.integers(0, 6))) for _ in range(150)})
+    df = spark.createDataFrame([(c,) for c in codes], "a string")
+    rows = fuzzy_join(df, df.withColumnRenamed("a", "b"), "a", "b").collect()
+    got = {(r.a, r.b, r.distance) for r in rows}
+    assert len(got) == len(rows) and got == {(a, b, match.osa_distance(a, b)) for a in codes for b in codes if match.osa_distance(a, b) <= 1}
+
+
+def test_points_marks_and_boxes_against_all_pairs(spark):
+    g = np.random.default_rng(8)
+    boxes = [(i, 1, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(g.integers(0, 400, (60, 4)).tolist())]
+    points = [(i, *map(float, p)) for i, p in enumerate(g.integers(0, 500, (80, 2)).tolist())]
+    regions = spark.createDataFrame([(b[0], b[0], b[2], b[4], b[3], b[5]) for b in boxes], "region int, ord int, x0 double, x1 double, y0 double, y1 double")
+    got = {r.point: r.region for r in geometry.point_in_region(spark.createDataFrame(points, "point int, x double, y double"), regions, 64.0).collect()}
+    inside = lambda x, y: [b[0] for b in boxes if b[2] <= x <= b[4] and b[3] <= y <= b[5]]
+    assert got == {i: min(inside(x, y)) for i, x, y in points if inside(x, y)}
+    marks = spark.createDataFrame([(1, x, y, x + 3, y + 3) for _, x, y in points], "page int, mx0 double, my0 double, mx1 double, my1 double")
+    hit = geometry.marked_boxes(spark.createDataFrame(boxes, "box int, page int, x0 double, y0 double, x1 double, y1 double"), marks, 1.0, 64.0)
+    assert {r.box for r in hit.collect()} == {b[0] for b in boxes if any(x <= b[4] + 1 and x + 3 >= b[2] - 1 and y <= b[5] + 1 and y + 3 >= b[3] - 1 for _, x, y in points)}
+
+
+def test_affine_by_page_inverse_and_links(spark):
+    rows = [(1, float(x), float(y), 2.0 * x + 1, 3.0 * y + 2) for x in (0, 1, 2) for y in (0, 1)]
+    m = geometry.affine_by_page(spark.createDataFrame(rows, "page bigint, x double, y double, u double, v double")).first()
+    assert np.allclose([m.a, m.b, m.c, m.d, m.e, m.f], [2, 0, 1, 0, 3, 2])
+    assert np.allclose(geometry.inverse((2, 0, 1, 0, 3, 2)), [0.5, 0, -0.5, 0, 1 / 3, -2 / 3])
+    codes = control.unused_codes(spark.createDataFrame([(f"M-{i}",) for i in range(1000, 9990)], "code string"), 3).collect()
+    assert len({c.code for c in codes}) == 3 and all(int(c.code[2:]) >= 9990 for c in codes)
+    with pytest.raises(PermissionError):
+        control.images_for(rows, "visitor")
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from casebook.sources import readers, sinks
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "page-12a.jpg").write_bytes(b"x"), (tmp_path / "p" / "page-12b.jpg").write_bytes(b"y"), (tmp_path / "p" / "empty-3.jpg").write_bytes(b"")
+    good, bad = readers.photos(spark, str(tmp_path / "p"))
+    assert good.count() == 2 and [r.reason for r in bad.collect()] == ["empty"]
+    assert {r.page: len(r.files) for r in readers.page_images(spark, str(tmp_path / "p")).collect()} == {12: 2}
+    (tmp_path / "a.csv").write_text("age,parity\n31,2\n")
+    assert readers.csv_rows(spark, str(tmp_path / "a.csv")).first().age == "31"
+    for rows in ([(1, "a"), (2, "b"), (2, "b")], [(2, "z"), (3, "c")]):
+        sinks.append_new(spark.createDataFrame(rows, "id int, v string"), str(tmp_path / "t"), "id")
+    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    with pytest.raises(KeyError):
+        readers.by_id(spark.read.parquet(str(tmp_path / "t")), "id", 9)
+    key = control.storage_key("NO_SUCH_KEY", str(tmp_path / "key"))
+    assert control.storage_key("NO_SUCH_KEY", str(tmp_path / "key")) == key and (tmp_path / "key").stat().st_mode & 0o77 == 0
+
+
+def test_first_seen_flags_later_copies(spark, tmp_path):
+    from casebook.streaming import lifecycle_stream as stream
+
+    schema = "record string, at timestamp, content string"
+    spark.createDataFrame([("b", None, "x"), ("a", None, "x"), ("c", None, "y"), ("d", None, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    captures = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    stream.to_table(stream.first_seen(captures), str(tmp_path / "out"), str(tmp_path / "state"))
+    got = {r.record: r.state for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"a": "PENDING_AI", "b": "SUSPECTED_DUPLICATE", "c": "PENDING_AI", "d": "PENDING_AI"}
