@@ -147,7 +147,7 @@ def state_transitions_check(spark, sf_dir):
     return lifecycle.illegal(log, spark.createDataFrame(EVENT_EDGES, "old_state string, new_state string")).select("event_id", "user_id", "old_state", "new_state")
 
 
-@query("legal_transitions", "SELECT old_state, new_state FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, n in lifecycle.EDGES.items() for b in n) + ") v(old_state, new_state)")
+@query("legal_transitions", "SELECT split_part(e, ' ', 1) AS old_state, split_part(e, ' ', 2) AS new_state FROM (SELECT unnest(string_split('CAPTURED PENDING_AI, CAPTURED SUSPECTED_DUPLICATE, PENDING_AI AI_PROCESSED, PENDING_AI PROCESSING_FAILED, AI_PROCESSED TO_REVIEW, TO_REVIEW VALIDATED, TO_REVIEW PENDING_AI, TO_REVIEW MANUAL_REVIEW_REQUIRED, VALIDATED PATIENT_LINKED, PATIENT_LINKED SAVED, SAVED SYNCED, SAVED SYNC_FAILED, PROCESSING_FAILED PENDING_AI, PROCESSING_FAILED MANUAL_REVIEW_REQUIRED, SYNC_FAILED SAVED, SYNC_FAILED MANUAL_REVIEW_REQUIRED, SUSPECTED_DUPLICATE PENDING_AI, SUSPECTED_DUPLICATE MANUAL_REVIEW_REQUIRED, MANUAL_REVIEW_REQUIRED TO_REVIEW, MANUAL_REVIEW_REQUIRED PENDING_AI', ', ')) AS e)")
 def legal_transitions(spark, sf_dir):
     return lifecycle.edge_dim(spark)
 
@@ -738,10 +738,10 @@ def repeated_keys(spark, sf_dir):
     return records.repeated_keys(table(spark, sf_dir, "part"), "p_brand", "p_type")
 
 
-@query("new_patients", "SELECT DISTINCT user_id AS code FROM events WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+@query("new_patients", "SELECT DISTINCT user_id AS code FROM events WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 2 = 0)")
 def new_patients(spark, sf_dir):
     seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("code")).where("code IS NOT NULL").distinct()
-    return records.new_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("code")), seen, "code")
+    return records.new_rows(table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("code")), seen, "code")
 
 
 @query("encrypted_round_trip", "SELECT c_custkey AS page, sha256(c_name) AS sha256, true AS hidden FROM customer")
