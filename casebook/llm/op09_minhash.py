@@ -233,15 +233,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _crossed(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """Links (a, b) between classes within (bucket, doc_id, class_id): members outside a bucket's largest class against
-    the members of other classes, tile by tile."""
+    the members of other classes, tile by tile. A similarity is at most the lesser total weight over the greater, so only
+    texts whose totals allow it are compared; two members outside the largest class meet once."""
     sizes = members.groupBy("bucket", "class_id").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.sum("n").alias("total"), F.max("n").alias("most"))
     rows = members.join(largest, "bucket")
     down = F.ceil((F.col("total") - F.col("most")) / TILE).cast("int")
     across = F.ceil(F.col("total") / TILE).cast("int")
     spot = F.xxhash64("doc_id")
-    minor = rows.where("class_id <> main").select("bucket", "doc_id", "class_id", F.pmod(spot, down).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), F.lit(True).alias("left"))
-    every = rows.select("bucket", "doc_id", "class_id", F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), F.pmod(spot, across).cast("int").alias("j"), F.lit(False).alias("left"))
+    minor = rows.where("class_id <> main").select("bucket", "doc_id", "class_id", F.pmod(spot, down).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), across - 1)).alias("j"), F.lit(True).alias("left"), F.lit(True).alias("minor"))
+    every = rows.select("bucket", "doc_id", "class_id", F.explode(F.sequence(F.lit(0), down - 1)).alias("i"), F.pmod(spot, across).cast("int").alias("j"), F.lit(False).alias("left"), (F.col("class_id") != F.col("main")).alias("minor"))
     dealt = minor.unionByName(every).join(texts.select("doc_id", "text"), "doc_id")
 
     def tile(rows):
@@ -259,8 +260,14 @@ def _crossed(members: DataFrame, texts: DataFrame, idf, threshold: float) -> Dat
         left = rows[rows["left"]]
         right = rows[~rows["left"]]
         others = list(zip(right["doc_id"].tolist(), right["class_id"].tolist()))
+        ids, minors = right["doc_id"].to_numpy(np.int64), right["minor"].to_numpy(bool)
+        totals = np.array([sets[e][1].sum() for e, _ in others])
         for d, c in zip(left["doc_id"].tolist(), left["class_id"].tolist()):
-            for e, other in others:
+            own = sets[d][1].sum()
+            # a little slack for rounding of sums
+            able = np.minimum(totals, own) >= threshold * (1 - 1e-9) * np.maximum(totals, own)
+            for k in np.flatnonzero(able & (~minors | (ids > d))).tolist():
+                e, other = others[k]
                 if root(c) != root(other) and jaccard(sets[d], sets[e]) >= threshold:
                     out.append((d, e))
                     parent[root(c)] = root(other)
