@@ -41,9 +41,11 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_code: str, right_code: str) -> DataFrame:
-    """Pairs of (left_code, right_code) at distance at most one, by an equi-join of their edit keys."""
+    """Pairs of (left_code, right_code) at distance at most one, by an equi-join of their edit keys. A code has some three
+    keys a character, which Spark's estimate of a side's size leaves out: a broadcast chosen by it would send the driver
+    all keys of a large table, so both sides are shuffled and sorted whatever their size."""
     a = left.select(left_code).distinct().select(left_code, F.explode(edit_keys(F.col(left_code), True)).alias("_v"))
     b = right.select(right_code).distinct().select(right_code, F.explode(edit_keys(F.col(right_code), False)).alias("_v"))
     equal = F.col(left_code) == F.col(right_code)
-    pairs = a.join(b, "_v").where(~equal | F.col("_v").startswith("="))
+    pairs = a.join(b.hint("merge"), "_v").where(~equal | F.col("_v").startswith("="))
     return pairs.select(left_code, right_code, F.when(equal, 0).otherwise(1).alias("distance"))

@@ -164,6 +164,13 @@ def test_random_codes_against_all_pairs(spark):
     assert len(got) == len(rows) and got == {(a, b, match.osa_distance(a, b)) for a in codes for b in codes if match.osa_distance(a, b) <= 1}
 
 
+def test_keys_of_codes_are_never_broadcast(spark):
+    df = spark.range(30).select(F.concat(F.lit("p "), F.col("id") + 100).alias("code"))
+    plan = match.code_candidates(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert match.code_candidates(df, df).where("distance = 0").count() == 30
+
+
 def test_points_marks_and_boxes_against_all_pairs(spark):
     g = np.random.default_rng(8)
     boxes = [(i, 1, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(g.integers(0, 400, (60, 4)).tolist())]
