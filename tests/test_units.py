@@ -171,6 +171,29 @@ def test_keys_of_codes_are_never_broadcast(spark):
     assert match.code_candidates(df, df).where("distance = 0").count() == 30
 
 
+def test_link_outcomes_without_broadcast_over_odd_requests(spark):
+    codes = ["AB1", "AB2", "BA1", "P 7"]
+    patients = spark.range(4).select(F.element_at(F.array(*map(F.lit, codes)), (F.col("id") + 1).cast("int")).alias("code"))
+    asks = [(s, c, w) for s in ("VALIDATED", "SAVED", None) for c in ("a b1", "AB3", "P7", "", " ", "ZZZZ", None) for w in (True, False, None)]
+    rows = spark.createDataFrame([(i, *a) for i, a in enumerate(asks)], "record int, state string, code string, create boolean")
+    got = control.link_outcomes(rows, patients)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+    def outcome(state, code, create):
+        code = None if code is None else "".join(code.split()).upper()
+        if state is not None and state != "VALIDATED":
+            return code, "not_validated", None
+        if not code:
+            return code, "created" if create else "no_code", None
+        if code in codes:
+            return code, "linked", None
+        if create:
+            return code, "created", None
+        return code, "unknown_code", sorted(k for k in {"".join(k.split()) for k in codes} if match.osa_distance(code, k) == 1)
+
+    assert {r.record: (r.code, r.outcome, r.candidates) for r in got.collect()} == {i: outcome(*a) for i, a in enumerate(asks)} and got.count() == len(asks)
+
+
 def test_points_marks_and_boxes_against_all_pairs(spark):
     g = np.random.default_rng(8)
     boxes = [(i, 1, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(g.integers(0, 400, (60, 4)).tolist())]
