@@ -305,11 +305,14 @@ def snapped(points: DataFrame, lines: DataFrame, reach: float = 30.0) -> DataFra
 
 def merged_bands(bands: DataFrame, apart: float = 40.0) -> DataFrame:
     """(page, top, bottom): shaded bands (page, top, bottom) whose middles are less than ``apart`` from the band before are
-    one: gaps and islands over their middles."""
+    one: gaps and islands over their middles. Of equal bands the one behind the gap comes first, so none is counted to the
+    island before. Bands without places (null) come last: one joins the island before, any further one is its own."""
     middle = (F.col("top") + F.col("bottom")) / 2
-    w = Window.partitionBy("page").orderBy("top", "bottom")
-    first = F.coalesce(middle - F.lag(middle).over(w) >= apart, F.lit(True)).cast("int")
-    islands = bands.withColumn("_first", first).withColumn("_island", F.sum("_first").over(w))
+    places = [F.asc_nulls_last("top"), F.asc_nulls_last("bottom")]
+    w = Window.partitionBy("page").orderBy(*places)
+    first = F.coalesce(middle - F.lag(middle).over(w) >= apart, F.lit(False)) | F.lag("top").over(w).isNull()
+    sums = Window.partitionBy("page").orderBy(*places, F.desc("_first")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    islands = bands.withColumn("_first", first.cast("int")).withColumn("_island", F.sum("_first").over(sums))
     return islands.groupBy("page", "_island").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom")).drop("_island")
 
 

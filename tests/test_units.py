@@ -194,6 +194,18 @@ def test_link_outcomes_without_broadcast_over_odd_requests(spark):
     assert {r.record: (r.code, r.outcome, r.candidates) for r in got.collect()} == {i: outcome(*a) for i, a in enumerate(asks)} and got.count() == len(asks)
 
 
+def test_merged_bands_of_equal_unknown_and_boundless_places(spark):
+    nan, inf = float("nan"), float("inf")
+    pages = {1: [None, None, 10.0], 2: [None], 3: [None, None], 4: [50.0, None, 200.0, None, None], 5: [nan, nan, 30.0], 6: [inf, inf, 20.0], 7: [90.0, 180.0, 180.0], 8: [20.0, 20.0, 20.0], 9: [10.0, 50.0, 89.0, 89.0, 200.0, 200.0, 239.0]}
+    bands = spark.createDataFrame([(p, t, None if t is None else t + 12) for p, ts in pages.items() for t in ts], "page int, top double, bottom double")
+    got = sorted((r.page, str(r.top), str(r.bottom)) for r in geometry.merged_bands(bands).collect())
+    want = {
+        1: [(10.0, 22.0), (None, None)], 2: [(None, None)], 3: [(None, None)] * 2, 4: [(50.0, 62.0), (200.0, 212.0), (None, None), (None, None)], 5: [(30.0, 42.0), (nan, nan), (nan, nan)],
+        6: [(20.0, 32.0), (inf, inf), (inf, inf)], 7: [(90.0, 102.0), (180.0, 192.0)], 8: [(20.0, 32.0)], 9: [(10.0, 22.0), (50.0, 101.0), (200.0, 251.0)],
+    }
+    assert got == sorted((p, str(t), str(b)) for p, rows in want.items() for t, b in rows)
+
+
 def test_points_marks_and_boxes_against_all_pairs(spark):
     g = np.random.default_rng(8)
     boxes = [(i, 1, *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(g.integers(0, 400, (60, 4)).tolist())]
