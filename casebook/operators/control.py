@@ -133,14 +133,16 @@ def link_outcomes(requests: DataFrame, patients: DataFrame) -> DataFrame:
     """(record, code, outcome, candidates) of link requests (record, state, code, create): linked to a known code, created, or
     refused: not_validated, no_code, or unknown_code with the known codes one edit away. Only a request's own wish creates.
     Codes are compared only for requests that end as unknown_code; known codes are shuffled, for a broadcast of them would
-    grow with the patients, and joined once with the lists, so that a code of many requests (none given) can be split."""
+    grow with the patients. Requests that are decided without a code go by their record, so blank codes gather nowhere."""
     asked = requests.withColumn("code", normal_code(F.col("code")))
     known = patients.select("code").distinct().hint("merge")
-    wanted = asked.where((F.col("code") != "") & ~F.coalesce(F.col("state") != "VALIDATED", F.lit(False)) & ~F.coalesce("create", F.lit(False)))
+    looked_up = (F.coalesce("code", F.lit("")) != "") & ~F.coalesce(F.col("state") != "VALIDATED", F.lit(False))
+    wanted = asked.where(looked_up & ~F.coalesce("create", F.lit(False)))
     near = code_candidates(wanted.select("code").distinct().join(known, "code", "left_anti"), patients).where("distance > 0")
     listed = near.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "candidate"))), lambda c: c["candidate"]).alias("candidates"))
     found = known.withColumn("_known", F.lit(True)).unionByName(listed, allowMissingColumns=True)
-    rows = asked.join(found.hint("merge"), "code", "left")
+    dealt = asked.withColumn("_key", F.when(looked_up, F.col("code")).otherwise(F.concat(F.lit(" "), F.xxhash64("record"))))
+    rows = dealt.join(found.withColumnRenamed("code", "_key").hint("merge"), "_key", "left")
     result = (
         F.when(F.col("state") != "VALIDATED", "not_validated").when(F.coalesce("code", F.lit("")) == "", F.when(F.col("create"), "created").otherwise("no_code"))
         .when(F.col("_known"), "linked").when(F.col("create"), "created").otherwise("unknown_code")

@@ -194,6 +194,17 @@ def test_link_outcomes_without_broadcast_over_odd_requests(spark):
     assert {r.record: (r.code, r.outcome, r.candidates) for r in got.collect()} == {i: outcome(*a) for i, a in enumerate(asks)} and got.count() == len(asks)
 
 
+def test_requests_without_a_code_are_dealt_over_tasks(spark):
+    rows = spark.range(400).select(F.col("id").alias("record"), F.lit("VALIDATED").alias("state"), F.repeat(F.lit(" "), (F.col("id") % 3).cast("int")).alias("code"), (F.col("id") % 2 == 0).alias("create"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = control.link_outcomes(rows, spark.range(9).select(F.col("id").cast("string").alias("code"))).groupBy(F.spark_partition_id().alias("task"), "outcome").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len({r.task for r in got}) == 4 and max(r["count"] for r in got) < 100
+    assert sum(r["count"] for r in got if r.outcome == "created") == sum(r["count"] for r in got if r.outcome == "no_code") == 200
+
+
 def test_merged_bands_of_equal_unknown_and_boundless_places(spark):
     nan, inf = float("nan"), float("inf")
     pages = {1: [None, None, 10.0], 2: [None], 3: [None, None], 4: [50.0, None, 200.0, None, None], 5: [nan, nan, 30.0], 6: [inf, inf, 20.0], 7: [90.0, 180.0, 180.0], 8: [20.0, 20.0, 20.0], 9: [10.0, 50.0, 89.0, 89.0, 200.0, 200.0, 239.0]}
