@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -63,7 +64,6 @@ class Codec:
         self.model = self.tokenizer.model
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self._letters = dict(enumerate(_byte_letters()))
-        self._known: dict[str, np.ndarray] = {}
 
     @property
     def special_text(self) -> str:
@@ -74,19 +74,6 @@ class Codec:
             return [self.special[piece]]
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
 
-    def ids_of_all(self, pieces: list[str], cache: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces one after the other, and how many each has. ``cache``: pieces to remember at most."""
-        known, rows = self._known, []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = self.ids_of(p)
-                if len(known) < cache:
-                    known[p] = ids
-            rows.append(ids)
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        return np.fromiter((i for r in rows for i in r), np.uint32, int(size.sum())), size
-
     @lru_cache(1)
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id-to-piece table: all bytes one after the other, where each id's start, and how many it has."""
@@ -114,6 +101,54 @@ class Codec:
             yield tb.ragged(flat, first[part], size[part]).tobytes()
 
 
+class SeenPieces:
+    """Ids of the pieces met so far, found by their hashes without a Python object for each: sorted first hashes, the
+    second ones (both must agree), and where each piece's ids lie. At most ``limit`` pieces are remembered; further
+    ones are encoded again with every batch that holds them."""
+
+    def __init__(self, own: Codec, limit: int):
+        self.own, self.limit = own, limit
+        self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.head, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def ids(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids, and for each piece of ``textblock.byte_bpe_pieces`` where its ids start there and how many."""
+        key, where, slot = np.unique(hashes[0], return_index=True, return_inverse=True)
+        check, slot = hashes[1][where], slot.reshape(-1)
+        if not (check[slot] == hashes[1]).all():  # two pieces share the first hash: go by the pieces themselves
+            words, slot = tb.distinct_pieces(hashes, begin, end, joined, self.own.special_text)
+            flat, size = self._encoded(words)
+            return flat, (np.cumsum(size) - size)[slot], size[slot]
+        place = np.searchsorted(self.key, key)
+        near = np.minimum(place, len(self.key) - 1)
+        taken = self.key[near] == key if len(self.key) else np.zeros(len(key), bool)
+        known = taken.copy()
+        known[taken] = self.check[near[taken]] == check[taken]
+        new = np.flatnonzero(~known)
+        blank = key[new] == tb.special_hash()
+        spans = zip(begin[where[new]].tolist(), end[where[new]].tolist(), blank.tolist())
+        flat, size_new = self._encoded([self.own.special_text if s else joined[b:e] for b, e, s in spans])
+        head, size = np.empty(len(key), np.int64), np.empty(len(key), np.int64)
+        head[known], size[known] = self.head[near[known]], self.size[near[known]]
+        ends = np.cumsum(size_new)
+        head[new], size[new] = len(self.flat) + ends - size_new, size_new
+        table = np.concatenate([self.flat, flat])
+        self._remember(table, new[~taken[new]][: max(0, self.limit - len(self.key))], place, key, check, head, size)
+        return table, head[slot], size[slot]
+
+    def _remember(self, table, fresh, place, key, check, head, size) -> None:
+        if len(fresh):
+            at = place[fresh]
+            self.flat = table[: int((head[fresh] + size[fresh]).max())]
+            self.key, self.check = np.insert(self.key, at, key[fresh]), np.insert(self.check, at, check[fresh])
+            self.head, self.size = np.insert(self.head, at, head[fresh]), np.insert(self.size, at, size[fresh])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = list(map(self.own.ids_of, words))
+        size = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(chain.from_iterable(rows), np.uint32, int(size.sum())), size
+
+
 @lru_cache(4)
 def codec(path: str) -> Codec:
     """One codec per process and file."""

@@ -19,15 +19,16 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from casebook.llm import textblock as tb
-from casebook.llm.byte_bpe import codec, default_path
+from casebook.llm.byte_bpe import SeenPieces, codec, default_path
 from casebook.llm.shared import open_in, open_out, shared_folder, written
 
-SLICE_CHARS = 200_000
+SLICE_CHARS = 500_000
 CACHED_PIECES = 300_000
 #: Fixed value: added to a rotated checksum.
 MASK = 0xA282EAD8
@@ -61,17 +62,20 @@ def unframe(stream, offset: int | None = None) -> bytes | None:
     return body[:size]
 
 
+@lru_cache(4)
+def seen_pieces(path: str) -> SeenPieces:
+    """One memory of pieces per process and file, kept from task to task."""
+    return SeenPieces(codec(path), CACHED_PIECES)
+
+
 def encoded(texts: list, path: str, end_id: int):
     """Ids of each text (with the end id), as arrays."""
-    own = codec(path)
+    own, seen = codec(path), seen_pieces(path)
     for part, _ in tb.batches(texts, texts, SLICE_CHARS):
         h, begin, end, first, joined = tb.byte_bpe_pieces(part, own.special_text)
-        words, slot = tb.distinct_pieces(h, begin, end, joined, own.special_text)
-        table, size = own.ids_of_all(words, CACHED_PIECES)
-        heads = np.cumsum(size) - size
+        table, head, size = seen.ids(h, begin, end, joined)
         for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            mine = slot[a:b]
-            yield np.append(tb.ragged(table, heads[mine], size[mine]), np.uint32(end_id))
+            yield np.append(tb.ragged(table, head[a:b], size[a:b]), np.uint32(end_id))
 
 
 def write_records(docs: DataFrame, path: str | None = None, end_id: int = 2, parts: int | None = None) -> DataFrame:
