@@ -8,7 +8,8 @@ record: doc_id, offset, framed length; with it a reader can fetch records in any
 
 Documents are dealt by range of doc_id and sorted within a range, so files follow each other in ascending doc_id.
 A task writes to names of its own attempt and returns them in the manifest; only names in the committed manifest are
-read, so a repeated or lost task leaves nothing behind that is read. The manifest has one row per file.
+read, so a repeated or lost task leaves nothing behind that is read. The manifest has one row per file and is one small
+Parquet file itself; small record files are read several to a task.
 
 Defined cases: a null or empty text is only the end id; null doc_ids come first and are kept; repeated rows give
 records of their own, ordered by text; other columns are ignored; an empty table gives no file.
@@ -30,6 +31,8 @@ from casebook.llm.shared import open_in, open_out, shared_folder, written
 
 SLICE_CHARS = 500_000
 CACHED_PIECES = 300_000
+#: Small files share a task that reads about so much; larger ones have a task each.
+READ_BYTES = 4_000_000
 #: Fixed value: added to a rotated checksum.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
@@ -112,7 +115,8 @@ def write_records(docs: DataFrame, path: str | None = None, end_id: int = 2, par
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    # the manifest's rows, one per file, go into one Parquet file instead of one each
+    return written(dealt.mapInArrow(run, MANIFEST).repartition(1), "token-manifest")
 
 
 def read_records(manifest: DataFrame, wide: bool = False) -> DataFrame:
@@ -151,7 +155,8 @@ def _read(manifest: DataFrame, wide: bool, digest: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     schema = "part int, place bigint, doc_id bigint, " + ("within bigint, n_tokens bigint, ids_crc32 bigint" if digest else "ids binary")
-    files = manifest.select("part", "path").repartition(max(1, manifest.count()), "part")
+    n, size = manifest.agg(F.count("*"), F.sum("bytes")).first()
+    files = manifest.select("part", "path").repartition(max(1, min(n, -(-(size or 0) // READ_BYTES))))
     return files.mapInArrow(run, schema)
 
 
